@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_sst
+from . import minhash, token_sst
 
 QUERIES = {
     "op2_token_sst": token_sst.op2_token_sst,
+    "op3_minhash": minhash.op3_minhash,
 }
 
 ORACLES: dict[str, str] = {}
