@@ -201,11 +201,35 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.id_bytes == 2 else "<u4")
         self.known: dict[str, bytes] = {}
 
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.after_space = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.after_space[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if _DOUBLE.search(text):
-            return _SINGLE.split(text)  # each piece but the first lacks the space before it
-        return text.split(" ")
+        """Parts of the text; a single space stood before each but the first."""
+        parts = text.split(" ")
+        if "" not in parts and list(map(str.strip, parts)) == parts:
+            return parts
+        return _SINGLE.split(text)
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of words as they are after a space.
+
+        Many are encoded at once as one text and cut before each id of which
+        the token starts with a space: a word has no other space.
+        """
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            text = " " + " ".join(part)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.after_space[ids]) * self.id_bytes
+            if len(cuts) == len(part):
+                raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids) * self.id_bytes]
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts.tolist(), ends, strict=True))
+            else:
+                enc = self.tok.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
+                self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, enc, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
@@ -216,21 +240,21 @@ class Encoder:
             p = self.pieces(t)
             first.append(p[0])
             rest.append(p[1:])
-        new = set().union(*rest).difference(self.known)
+        words = set().union(*rest)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = set().union(*rest)
-        todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            enc = self.tok.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in enc), strict=True))
+            new = words
+        spaced = [w for w in new if " " in w or w != w.strip() or not w]
+        self.learn(list(new.difference(spaced)) if spaced else list(new))
+        if spaced:
+            enc = self.tok.encode_batch_fast([" " + w for w in spaced], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(spaced, enc, strict=True))
         known = self.known
         heads = self.tok.encode_batch_fast(first, add_special_tokens=False)
         return [np.array(h.ids, self.dtype).tobytes() + b"".join([known[w] for w in r]) for h, r in zip(heads, rest, strict=True)]
 
 
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, Encoder] = {}
 
