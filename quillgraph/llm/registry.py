@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media_jpeg, minhash, token_sst
+from . import langid, media_jpeg, minhash, token_sst
 
 QUERIES = {
     "op1_media_jpeg": media_jpeg.op1_media_jpeg,
     "op2_token_sst": token_sst.op2_token_sst,
     "op3_minhash": minhash.op3_minhash,
+    "op8_langid": langid.op8_langid,
 }
 
 ORACLES: dict[str, str] = {}
