@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, media_jpeg, minhash, token_sst
+from . import langid, media_jpeg, minhash, mixing, packing, token_sst
 
 QUERIES = {
     "op1_media_jpeg": media_jpeg.op1_media_jpeg,
     "op2_token_sst": token_sst.op2_token_sst,
     "op3_minhash": minhash.op3_minhash,
+    "op5_mixing": mixing.op5_mixing,
     "op8_langid": langid.op8_langid,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
