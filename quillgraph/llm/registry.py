@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media_jpeg, minhash, mixing, packing, token_sst
+from . import langid, media_jpeg, minhash, mixing, packing, rp_forest, token_sst
 
 QUERIES = {
     "op1_media_jpeg": media_jpeg.op1_media_jpeg,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.op5_mixing,
     "op8_langid": langid.op8_langid,
+    "op9_rp_forest": rp_forest.op9_rp_forest,
     "op10_packing": packing.op10_packing,
 }
 
