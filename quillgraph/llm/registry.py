@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media_jpeg, minhash, mixing, packing, rp_forest, token_sst, url_graph, warc
+from . import langid, main_text, media_jpeg, minhash, mixing, packing, rp_forest, token_sst, url_graph, warc
 
 QUERIES = {
     "op1_media_jpeg": media_jpeg.op1_media_jpeg,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_graph": url_graph.op4_url_graph,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
+    "op7_main_text": main_text.op7_main_text,
     "op8_langid": langid.op8_langid,
     "op9_rp_forest": rp_forest.op9_rp_forest,
     "op10_packing": packing.op10_packing,
