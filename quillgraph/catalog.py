@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .queries import graph
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (graph,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
