@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import graph
+from .queries import graph, metrics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (graph,):
+for _part in (graph, metrics):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
