@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import graph, metrics
+from .queries import content, graph, metrics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (graph, metrics):
+for _part in (graph, metrics, content):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
