@@ -21,8 +21,9 @@ LEAST_SCORE = 0.2
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those in no learned language."""
     seen = docs.where(~langid.held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    got = langid.predicted(docs, langid.fit(seen))
-    return got.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    names = tuple("_" * max(map(len, docs.columns)) + x for x in ("lang", "score"))  # names that no column has
+    got = langid.predicted(docs, langid.fit(seen), names=names)
+    return got.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +40,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: rows repeat, or go."""
-    got, _ = mixing.mixed(docs, n_words(F.col("text")), F.array("source"))
-    rows = got.where("repeats > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return rows.select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", n_words(F.col("text")).alias("words"), "source")
+    got, _ = mixing.mixed(rows, F.col("words"), F.array("source"))
+    got = got.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return got.select("row.*")
 
 
 def into_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals the documents into length buckets and batches of a token budget."""
-    return packing.packed(docs.withColumn("words", n_words(F.col("text"))).drop("text"), F.col("words")).select("doc_id", "lang", "source", "length", "bucket", "bucket_length", "batch", "slot")
+    rows = docs.select("doc_id", "lang", "source", n_words(F.col("text")).alias("words"))
+    return packing.packed(rows, F.col("words")).drop("words")
 
 
 STAGES = [

@@ -140,9 +140,10 @@ def fit(labelled: DataFrame, length: int = LENGTH, train_docs: int = TRAIN_DOCS)
     return Profiles.of(lists, length)
 
 
-def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to each row; ``und`` and 0 where the text is null or has no letter."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score to each row, as columns ``names``; ``und``
+    and 0 where the text is null or has no letter."""
+    new, names = names, [c for c in docs.columns if c not in names]
     docs = docs.select(*[f"`{c}`" for c in names])
     place = names.index(text_col)
 
@@ -151,9 +152,9 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Da
             for part in slices(batch, text_col):
                 got = [profiles.closest(ranked(*run, profiles.length)) for run in ngram_runs(part.column(place))]
                 more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, *new])
 
-    return docs.mapInArrow(tell, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(tell, docs.withColumns({new[0]: F.lit(""), new[1]: F.lit(0.0)}).schema)
 
 
 def held_out(doc_id: str = "doc_id"):
