@@ -123,7 +123,7 @@ def figures_of(text: str) -> list[tuple[str | None, str, float, str]]:
     return out
 
 
-_NAME = r"(?P<{0}>[A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*){{0,4}})"
+_NAME = r"(?P<{0}>[A-Z][\w&'-]*(?:\.[\w&'-]+)*(?:\s+[A-Z][\w&'-]*(?:\.[\w&'-]+)*){{0,4}})"
 #: Edge type, pattern, whether the roles are turned about.
 RELATIONS = [
     (t, re.compile(p))
