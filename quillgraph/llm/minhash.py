@@ -14,7 +14,8 @@ No group's pairs are all made.  Equal sets are one class with one
 representative.  Within a band each member is first compared with one member,
 that which meets most others (a cluster's centre); members already in one
 component need no further comparison.  Only members of one band that are still
-in different components are then compared pairwise, large bands in blocks.
+in different components are then compared; members of large bands meet in
+blocks, with their full sets, and give links alone.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ COORDS = BANDS * ROWS
 #: Of 128 signature bits, pairs that differ in more are not compared: at
 #: similarity 0.8 the mean is 12.8 and 40 is eight deviations off.
 SKETCH_BITS = 40
-BLOCK = 64
+#: Up to so many members of a band are compared as pairs; more in blocks.
+FEW = 48
+BLOCK = 256
 
 _TABLES: list[np.ndarray] = []
 
@@ -126,17 +129,105 @@ def _close(a: str, b: str, percent: int) -> Column:
     return sizes & (bits <= SKETCH_BITS)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union holds on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(full_sets(docs.join(ids, "id", "left_semi"), size), "sets")
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     out = pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
-    links = written(out, "confirmed")
-    dropped(sets)
-    return links
+    return written(out, "confirmed")
+
+
+def in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large bands that are in different components.
+
+    Within a band the members of its largest component need no comparison with
+    each other.  They and the others are dealt into blocks by hash; each block
+    of others meets each block of either in a cell, with their full sets, and a
+    cell counts all its intersections as a product of incidence matrices.  No
+    pair is a row but the links, of which a cell gives only those that join
+    components.
+    """
+    per = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("band", F.col("top.component").alias("main"), blocks(F.col("top.k")).alias("n_main"), blocks(F.col("m") - F.col("top.k")).alias("n_rest"))
+    rows = left.select("band", "id", "component").join(per, "band").withColumn("in_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j, side, alone: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), alone.alias("alone"))
+    own, no = F.col("own"), F.lit(False)
+    of_main = F.transform(upto("n_rest"), lambda j: cell(0, own, j, F.lit(-1), no))
+    of_rest = F.concat(F.transform(upto("n_main"), lambda i: cell(0, i, own, F.lit(-2), no)), F.transform(upto("n_rest"), lambda k: cell(1, F.least(own, k), F.greatest(own, k), own, own == k)))
+    cells = rows.select("band", "id", "component", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("c"))
+    cells = cells.select("id", "component", F.col("c.side").alias("own"), F.xxhash64("band", "c.kind", "c.i", "c.j").alias("cell"), "c.alone")
+    full = cells.join(sets, "id").select("cell", "alone", "own", "id", "component", "shingles")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = full.repartition(n, "cell").sortWithinPartitions("cell")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            column = lambda k: table.column(k).combine_chunks()
+            sets = [x.values.to_numpy() for x in column("shingles")]
+            pairs = joining_links(column("id").to_numpy(), column("component").to_numpy(), None if column("alone")[0].as_py() else column("own").to_numpy(), sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            at = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if i == j:
+                    continue
+                if held and held[0].column(0)[0].as_py() != cell[i]:
+                    yield done()
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield done()
+
+    return written(full.mapInArrow(compare, "a long, b long"), "block-links")
+
+
+def joining_links(ids: np.ndarray, component: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Of all pairs (between blocks ``own``, if given) that are similar enough,
+    such as join the components into as few as can be."""
+    n, k = np.array([len(s) for s in sets], np.int64), len(sets)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(k), n)
+    _, col, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    place = np.cumsum(shared) - 1
+    use = shared[col]
+    row, col = row[use], place[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((k, k))
+    width = 4096
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, (lo, lo + width))
+        m = np.zeros((k, width), np.float32)
+        m[row[i:j], col[i:j] - lo] = 1
+        both += m @ m.T
+    similar = (both * 100 >= (n[:, None] + n[None, :] - both) * percent) & (component[:, None] != component[None, :])
+    if own is not None:
+        similar &= own[:, None] != own[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(similar, 1)).tolist():
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -161,6 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member2 = written(member.join(sizes, "band"), "shared-bands")
     dropped(member)
     member = member2
+    # full sets of all that share a band, once; their number has no bound, so no broadcast
+    sets = written(full_sets(rows.join(member.select("id").distinct().hint("merge"), "id", "left_semi"), size), "sets")
     # the centre: the member that meets most others over all bands
     degree = member.groupBy("id").agg(F.sum("m").alias("degree"))
     ranked = member.join(degree, "id")
@@ -170,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(star.select(F.least("x.id", "c.id").alias("a"), F.greatest("x.id", "c.id").alias("b")).distinct(), "star")
     several = classed.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("c0"), F.max(F.struct("h1", "h2")).alias("c1")).where("c0 <> c1").select("id")
     one = classed.join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = confirmed(star, reps, rows, size, percent).unionByName(written(one, "one-document"))
+    links = confirmed(star, sets, percent).unionByName(written(one, "one-document"))
     joined = components(links)
     # what is still apart within a band
     state = member.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -178,18 +271,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("k")).where("lo <> hi and k > 2").select("band")
     left = written(state.join(apart, "band"), "apart")
     dropped(state)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # block i meets block j in the cell (min, max): a member goes to each cell of its block
-    cells = left.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("band", "id", "n", "s1", "s2", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    x, y = cells.alias("x"), cells.alias("y")
-    same_cell = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    once = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own")))
-    rest = x.join(y, same_cell & once & _close("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(confirmed(rest, reps, rows, size, percent))
+    x, y = left.where(F.col("m") <= FEW).alias("x"), left.where(F.col("m") <= FEW).alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = written(pairs.join(star, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(confirmed(rest, sets, percent)).unionByName(in_blocks(left.where(F.col("m") > FEW), sets, percent))
     joined = components(links)
+    for table in (sets, member, star, left, rest):
+        dropped(table)
     of_class = classes.join(joined, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # an identifier with several texts: its classes count as one through its own id
     out = sig.select("id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
