@@ -83,7 +83,7 @@ QUERIES = {
 _N = "nd AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM part_edge UNION ALL SELECT dst FROM part_edge) GROUP BY node), w AS (SELECT src AS a, dst AS b FROM part_edge UNION ALL SELECT dst, src FROM part_edge)"
 _T = "tri AS (SELECT x.src AS x, x.dst AS y, y.dst AS z FROM part_edge x JOIN part_edge y ON x.dst = y.src JOIN part_edge q ON q.src = x.src AND q.dst = y.dst), tc AS (SELECT node, count(*) AS t FROM (SELECT x AS node FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY node)"
 _CC = "cc AS (SELECT node, d, coalesce(t, 0) AS t, CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0 END AS value FROM nd LEFT JOIN tc USING (node))"
-_DIST = "reach AS (SELECT node AS src, node AS dst, 0 AS d FROM nd UNION SELECT src, b, d + 1 FROM reach JOIN w ON dst = a WHERE d < 10), dist AS (SELECT src, dst, min(d) AS d FROM reach GROUP BY 1, 2)"
+_DIST = "reach(src, dst, d) USING KEY (src, dst) AS (SELECT node, node, 0 FROM nd UNION SELECT r.src, w.b, min(r.d) + 1 FROM reach r JOIN w ON r.dst = w.a LEFT JOIN recurring.reach k ON k.src = r.src AND k.dst = w.b WHERE k.d IS NULL GROUP BY r.src, w.b), dist AS (SELECT src, dst, d FROM reach)"
 _WEDGE = "wedge AS (SELECT x.b AS lo, y.b AS hi, d.d AS dm FROM w x JOIN w y ON x.a = y.a AND x.b < y.b JOIN nd d ON d.node = x.a), free AS (SELECT * FROM wedge WHERE NOT EXISTS (SELECT 1 FROM part_edge e WHERE e.src = lo AND e.dst = hi))"
 
 
