@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +130,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def all_equal(*pairs: tuple[Column, Column]) -> Column:
-    return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in pairs))
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: rows (id, component).
 
