@@ -16,9 +16,6 @@ from .shared import n_words, written
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: Distinct lengths that the program treats one by one; beyond, neighbours are
-#: joined and count as the longest of them.
-MAX_LENGTHS = 65_536
 #: Rows of a bucket that are numbered in one task, about.
 ROWS_A_TASK = 50_000
 
@@ -65,17 +62,21 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[
     return ends[::-1]
 
 
-def histogram(lengths: DataFrame, most: int = MAX_LENGTHS) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct lengths (column ``length``) with their counts, at most ``most`` of them."""
-    counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    top = lengths.agg(F.max("length")).first()[0]
-    if top is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if top > most:  # equal steps above; at most ``most`` rows reach the driver
-        step = -(-top // most)
-        counts = counts.groupBy((F.ceil(F.col("length") / step) * step).alias("length")).agg(F.sum("n").alias("n"))
-    rows = sorted((int(r.length), r.n) for r in counts.collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+def histogram(lengths: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct lengths (column ``length``), ascending, with their counts.
+
+    They fit the driver whatever the input: n distinct lengths take n^2 / 2 words
+    of text at least.  Only if ``most`` is given are neighbours joined, each
+    group with the longest length in it, to that many.
+    """
+    got = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    at, n = got["length"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64)
+    order = np.argsort(at)
+    at, n = at[order], n[order]
+    if most is not None and len(at) > most:
+        first = np.arange(0, len(at), -(-len(at) // most))
+        at, n = at[np.append(first[1:], len(at)) - 1], np.add.reduceat(n, first)
+    return at, n
 
 
 def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, seed: int = 0) -> DataFrame:

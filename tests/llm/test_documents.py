@@ -382,3 +382,18 @@ def test_long_histogram(spark):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") * 1000).alias("words"))
     lengths, counts = packing.histogram(rows.select(F.col("words").alias("length")), 100)
     assert len(lengths) <= 101 and counts.sum() == 1000 and lengths[-1] >= 999_000
+
+
+def test_a_very_long_document_leaves_the_other_buckets_exact(spark):
+    sizes = [*range(1, 200), 1_000_000]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, words long")
+    got = packing.packed(rows, F.col("words"), n_buckets=4).collect()
+    want = packing.boundaries(np.array(sizes), np.ones(len(sizes), np.int64), 4)
+    assert sorted({r.bucket_length for r in got}) == want and want[-1] == 1_000_000
+    for b in {r.bucket for r in got}:
+        assert max(r.length for r in got if r.bucket == b) == next(r.bucket_length for r in got if r.bucket == b)
+
+
+def test_all_distinct_lengths_are_kept(spark):
+    lengths, counts = packing.histogram(spark.range(70_000).select(F.col("id").alias("length")))
+    assert len(lengths) == 70_000 and counts.sum() == 70_000 and lengths[-1] == 69_999
