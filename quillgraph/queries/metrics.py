@@ -77,7 +77,7 @@ QUERIES = {
     "bfs_distances_from": _m(lambda m: H.bfs(_names(m), [SOURCE], 4).select("node", "depth")),
     "shortest_path_parents": _m(lambda m: H.bfs(_names(m), [SOURCE], 3)),
     "cycles_len4": _m(lambda m: H.cycles(_directed(m), 4, 100)),
-    "hierarchy_cycles": _m(lambda m: H.hierarchy_cycles(_directed(m), 3)),
+    "hierarchy_cycles": _m(lambda m: H.hierarchy_cycles(_directed(m))),
 }
 
 _N = "nd AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM part_edge UNION ALL SELECT dst FROM part_edge) GROUP BY node), w AS (SELECT src AS a, dst AS b FROM part_edge UNION ALL SELECT dst, src FROM part_edge)"

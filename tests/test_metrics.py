@@ -9,6 +9,7 @@ from collections import deque
 import pytest
 
 from quillgraph.operators import community, metrics, paths
+from quillgraph.queries import metrics as queries
 
 
 def graph(spark, edges):
@@ -131,3 +132,23 @@ def test_random_graph(spark):
     assert paths.shortest_path(walk, source, -1, 3) is None
     with pytest.raises(ValueError):
         paths.shortest_path(walk, source, source + 1, -1)
+
+
+def test_hierarchy_cycles_query_walks_ten_steps(spark, monkeypatch):
+    r = random.Random(3)
+    edges = {(a, b) for a in range(40) for b in range(40) if a != b and r.random() < 0.02}
+    edges |= {(100 + i, 100 + (i + 1) % 10) for i in range(10)} | {(200 + i, 200 + (i + 1) % 11) for i in range(11)} | {(300, 300), (300, 301), (301, 302)}
+
+    def round_trip(s):
+        at = {s}
+        for k in range(1, 11):
+            at = {b for a, b in edges if a in at}
+            if s in at:
+                return k
+        return None
+
+    want = {n: round_trip(n) for n in {x for e in edges for x in e}}
+    monkeypatch.setattr(queries, "Model", lambda *_: None)
+    monkeypatch.setattr(queries, "_directed", lambda _: spark.createDataFrame(sorted(edges), "source long, target long"))
+    got = [x.node for x in queries.QUERIES["hierarchy_cycles"](spark, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == {n for n, k in want.items() if k} and max(k or 0 for k in want.values()) == 10
