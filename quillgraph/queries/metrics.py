@@ -74,8 +74,8 @@ QUERIES = {
     "lp_pref_attach": _g(lambda e: M.preferential_top(e, 50)),
     "lp_node_candidates": _g(lambda e: M.candidates(M.link_scores(e, "adamic_adar")).select("node", F.array_join("others", ",").alias("others"))),
     "suggestions": _m(_suggest),
-    "bfs_distances_from": _m(lambda m: H.bfs(_names(m), [SOURCE], 4).select("node", "depth")),
-    "shortest_path_parents": _m(lambda m: H.bfs(_names(m), [SOURCE], 3)),
+    "bfs_distances_from": _m(lambda m: H.bfs(_names(m), [SOURCE]).select("node", "depth")),
+    "shortest_path_parents": _m(lambda m: H.bfs(_names(m), [SOURCE])),
     "cycles_len4": _m(lambda m: H.cycles(_directed(m), 4, 100)),
     "hierarchy_cycles": _m(lambda m: H.hierarchy_cycles(_directed(m))),
 }

@@ -152,3 +152,13 @@ def test_hierarchy_cycles_query_walks_ten_steps(spark, monkeypatch):
     monkeypatch.setattr(queries, "_directed", lambda _: spark.createDataFrame(sorted(edges), "source long, target long"))
     got = [x.node for x in queries.QUERIES["hierarchy_cycles"](spark, "").collect()]
     assert len(got) == len(set(got)) and set(got) == {n for n, k in want.items() if k} and max(k or 0 for k in want.values()) == 10
+
+
+@pytest.mark.parametrize("name", ["bfs_distances_from", "shortest_path_parents"])
+def test_search_queries_run_until_nothing_is_new(spark, monkeypatch, name):
+    rows = [(queries.SOURCE, "n00"), *[(f"n{i:02}", f"n{i + 1:02}") for i in range(8)], ("n03", "side"), ("side", "n05"), ("n08", queries.SOURCE), ("far", "off")]
+    monkeypatch.setattr(queries, "Model", lambda *_: None)
+    monkeypatch.setattr(queries, "_names", lambda _: spark.createDataFrame(rows, "a string, b string"))
+    want = {queries.SOURCE: (0, None), "n00": (1, queries.SOURCE), **{f"n{i:02}": (i + 1, f"n{i - 1:02}") for i in range(1, 9)}, "side": (5, "n03")}
+    got = {r.node: (r.depth, r.parent if "parent" in r else want[r.node][1]) for r in queries.QUERIES[name](spark, "").collect()}
+    assert got == want
