@@ -123,37 +123,96 @@ def figures_of(text: str) -> list[tuple[str | None, str, float, str]]:
     return out
 
 
-_NAME = r"(?P<{0}>[A-Z][\w&'-]*(?:\.[\w&'-]+)*(?:\s+[A-Z][\w&'-]*(?:\.[\w&'-]+)*){{0,4}})"
-#: Edge type, pattern, whether the roles are turned about.
+_WORD = r"(?:[A-ZÀ-ÖØ-Þ]|\d+[A-Za-z])[\w&'-]*(?:\.[\w&'-]+)*"
+_NAME = rf"{_WORD}(?:[^\S\n]+(?:(?:of|&)[^\S\n]+)?{_WORD}){{0,9}}"
+_ONE = rf"(?P<m>{_NAME})"
+_SEVERAL = rf"(?P<m>{_NAME}(?:(?:,[^\S\n]+{_NAME})*,?[^\S\n]+(?:and|or)[^\S\n]+{_NAME})?)"
+_SPAN = r"(?P<m>[A-ZÀ-ÖØ-Þ](?:[\w&,'\s-]|\.(?=\w)){1,120}?)(?=\s*(?:\.(?!\w)|[;:()\n\"!?]|\s(?:which|that|is|has|will|but|while|when|because|since)\s|$))"
+_GOODS = r"(?:[A-Za-z0-9\s,-]{1,60}?\s+)?"
+_NO_RIVAL = r"(?!(?i:peers|rivals|competitors|chinese|indian|european|american|japanese|korean|other|many|some|several|various|both|all|its|(?:the|an?)\s))"
+#: Edge type, pattern, and the role of the name: "forward" as the edge's target, "reverse"
+#: as its source, "symmetric" as either end.
 RELATIONS = [
-    (t, re.compile(p))
-    for t, p in (
-        ("acquired", rf"\b[Aa]cquired\s+(?:a\s+(?:majority\s+|controlling\s+)?stake\s+in\s+)?{_NAME.format('m')}"),
-        ("acquired", rf"\b[Aa]cquisition\s+of\s+{_NAME.format('m')}"),
-        ("jv_with", rf"\b[Jj]oint\s+venture\s+with\s+{_NAME.format('m')}"),
-        ("jv_with", rf"\bJV\s+with\s+{_NAME.format('m')}"),
-        ("subsidiary_of", rf"\b[Ss]ubsidiary\s+of\s+{_NAME.format('m')}"),
-        ("supplier_to", rf"\b[Ss]uppl(?:ies|ier|ying)\s+to\s+{_NAME.format('m')}"),
-        ("supplier_to", rf"\b[Pp]roviding\s+\d+(?:\.\d+)?%\s+of\s+{_NAME.format('m')}"),
-        ("customer_of", rf"\b[Ss]ources?\s+from\s+{_NAME.format('m')}"),
-        ("competes_with", rf"\b[Cc]ompetes?\s+with\s+{_NAME.format('m')}"),
+    (t, re.compile(p), role)
+    for t, p, role in (
+        ("acquired", rf"\b(?i:acquired\s+(?:a\s+(?:majority\s+|controlling\s+)?stake\s+in\s+)?)(?!(?i:by|from)\s){_ONE}", "forward"),
+        ("acquired", rf"\b(?i:acquired\s+(?:by|from))\s+{_ONE}", "reverse"),
+        ("acquired", rf"\b(?i:acquisition\s+of)\s+{_ONE}", "forward"),
+        ("acquired", rf"\b(?i:demerged?\s+from)\s+{_ONE}", "reverse"),
+        ("acquired", rf"\b(?i:merged?\s+with|formed\s+through\s+(?:the\s+)?merger\s+(?:of|with))\s+{_ONE}", "reverse"),
+        ("jv_with", rf"\b(?i:joint\s+venture\s+(?:with|between|of\s+ours\s+along\s+with))\s+{_SEVERAL}", "symmetric"),
+        ("jv_with", rf"\b(?i:JV\s+(?:with|between))\s+{_SEVERAL}", "symmetric"),
+        ("jv_with", rf"\b(?i:tie[\s-]?up(?:ped|ping)?|tied[\s-]up|partnership|alliance)\s+(?i:with)\s+{_ONE}", "symmetric"),
+        ("subsidiary_of", rf"\b(?i:subsidiary\s+of)\s+{_ONE}", "forward"),
+        ("subsidiary_of", rf"\b(?i:parent\s+company\s+of)\s+{_ONE}", "reverse"),
+        ("subsidiary_of", rf"\b(?i:(?:listed|indian|overseas|wholly[\s-]owned)\s+subsidiary\s+(?:is\s+|named\s+|called\s+)?){_ONE}", "reverse"),
+        ("supplier_to", rf"\b(?i:supplier\s+(?:of\s+{_GOODS})?(?:to|for))\s+{_ONE}", "forward"),
+        ("supplier_to", rf"\b(?i:suppl(?:ies|ying|ied)\s+{_GOODS}to)\s+{_ONE}", "forward"),
+        ("supplier_to", rf"\b(?i:securing|secured|won|winning|awarded)\s+{_ONE}(?:\s+[a-z][\w-]*){{0,4}}?\s+(?:orders|contracts?|business|deal|RFQ|rfq)\b", "forward"),
+        ("supplier_to", rf"\b(?i:provid(?:e|es|ed|ing)\s+(?:about\s+|around\s+|nearly\s+|over\s+)?)\d+(?:\.\d+)?\s*%\s+of\s+{_ONE}", "forward"),
+        ("supplier_to", rf"\b(?i:vendor\s+(?:of\s+{_GOODS})?(?:to|for))\s+{_ONE}", "forward"),
+        ("supplier_to", rf"\b(?i:sources?|sourcing|procures?|procuring)\s+from\s+{_ONE}", "reverse"),
+        ("customer_of", r"\b(?i:major|largest|key|biggest|primary)\s+(?i:customers?)\s*\((?P<m>[^)]{1,200})\)", "forward"),
+        ("customer_of", rf"\b(?i:major|largest|key|biggest|primary)\s+(?i:customers?\s+(?:is|are))\s+{_SEVERAL}", "forward"),
+        ("competes_with", rf"\b(?i:peers|competitors|rivals|challengers)\s+(?i:like|such\s+as|including|named|namely)\s+{_SPAN}", "symmetric"),
+        ("competes_with", rf"\b(?i:competes?\s+with|rival(?:s|ry)?)\s+{_NO_RIVAL}{_SEVERAL}", "symmetric"),
     )
 ]
+_LISTED = re.compile(r"\s*,\s*(?:(?:and|or)\s+)?|\s+(?:and|or)\s+", re.I)
+_AMPERSAND = re.compile(r"\s+&\s+")
+_STARTS = re.compile(_NAME)
+_TRAILING = re.compile(r"\s+(?:the|an?|its|their|our|in|on|at|to|for|and|or)$", re.I)
+_LEGAL = frozenset("inc ltd limited llc corp co plc".split())
+# Words that are no company: at the end of what was acquired; alone or first in the other types.
+_NO_TARGET = re.compile(r"\b(?:land|property|assets|customers|clients|shares|stake|businesses|companies|brands?|portfolios?|new business|last year|this year|this quarter)$", re.I)
+_NO_CUSTOMER = frozenset("oems oem industry market customers clients consumers government automakers retailers wholesalers distributors dealers india us usa uk europe china asia the its our their".split())
+_NO_CUSTOMERS = frozenset(("public sector", "private sector", "auto makers", "global markets", "original equipment manufacturers"))
+_NO_COMPETITOR = frozenset("peers rivals competitors competition incumbents players challengers entrants newcomers startups chinese indian european american japanese korean global domestic foreign multinational oems others many some several various both all the its our their other".split())
+_GROUPED = re.compile(r"alongside|(?:grouped|mentioned|classified|bucketed|listed|featured)\s+with", re.I)
 _YEAR = re.compile(r"\b(20[1-9]\d)\b")
 
 
-def relations_of(text: str, last_year: int = 2100) -> list[tuple[str, str, str, int | None]]:
-    """(type, mention, quote, year) of relations that a text tells."""
-    out, seen = [], set()
-    for kind, pattern in RELATIONS:
-        for m in pattern.finditer(text or ""):
-            mention = m["m"].rstrip(".,")
-            if (kind, mention.lower()) in seen:
+def _mentions(kind: str, text: str) -> Iterator[str]:
+    """The names in what a pattern took, lists taken apart, without those that name no company."""
+    several = kind in ("customer_of", "competes_with", "jv_with")
+    parts = _LISTED.split(text) if several else [text]
+    if kind in ("customer_of", "competes_with"):
+        parts = [x for p in parts for x in _AMPERSAND.split(p)]
+    for part in parts:
+        m = _STARTS.match(part.strip())
+        if m is None:
+            continue
+        name = _TRAILING.sub("", m[0]).strip(" .,;:")
+        low = name.lower()
+        first = low.split()[0] if low else ""
+        if len(name) < 2 or several and len(parts) > 1 and low in _LEGAL:
+            continue
+        if kind == "acquired" and _NO_TARGET.search(low):
+            continue
+        if kind in ("supplier_to", "customer_of") and (first in _NO_CUSTOMER or low in _NO_CUSTOMERS):
+            continue
+        if kind == "competes_with" and first in _NO_COMPETITOR:
+            continue
+        yield name
+
+
+def relations_of(text: str, last_year: int = 2100) -> list[tuple[str, str, str, int | None, str]]:
+    """(type, mention, quote, year, role) of relations that a text tells of its company; names
+    are not resolved, so "joint venture between A and B" gives both."""
+    out, seen, text = [], set(), text or ""
+    for kind, pattern, role in RELATIONS:
+        for m in pattern.finditer(text):
+            if kind == "competes_with" and _GROUPED.search(text[max(0, m.start() - 60) : m.start()]):
                 continue
-            seen.add((kind, mention.lower()))
-            quote = re.sub(r"\s+", " ", text[max(0, m.start() - 120) : m.end() + 120]).strip()[:240]
-            years = [int(y) for y in _YEAR.findall(quote) if 2018 <= int(y) <= last_year]
-            out.append((kind, mention, quote, min(years, default=None)))
+            for mention in _mentions(kind, m["m"]):
+                if kind == "supplier_to" and mention.endswith("'s"):
+                    mention = mention[:-2]
+                if (kind, role, mention.lower()) in seen:
+                    continue
+                seen.add((kind, role, mention.lower()))
+                quote = re.sub(r"\s+", " ", text[max(0, m.start() - 120) : m.end() + 120]).strip()[:240]
+                years = [int(y) for y in _YEAR.findall(quote) if 2018 <= int(y) <= last_year]
+                out.append((kind, mention, quote, min(years, default=None), role))
     return out
 
 
@@ -177,4 +236,4 @@ def figures(docs: DataFrame) -> DataFrame:
 
 
 def relations(docs: DataFrame) -> DataFrame:
-    return rows_of(docs, relations_of, ["edge_type", "mention", "quote", "year"], "id long, edge_type string, mention string, quote string, year int")
+    return rows_of(docs, relations_of, ["edge_type", "mention", "quote", "year", "role"], "id long, edge_type string, mention string, quote string, year int, role string")

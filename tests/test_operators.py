@@ -136,6 +136,26 @@ def test_extraction(spark):
     assert extract.quotes(docs).count() == extract.figures(docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("It was acquired by Beta Works in 2021.", [("acquired", "Beta Works", "reverse")]),
+        ("It acquired Ashok Leyland and acquired Customers.", [("acquired", "Ashok Leyland", "forward")]),
+        ("Demerged from Alpha Ltd. Later merged with Beta Ltd.", [("acquired", "Alpha Ltd", "reverse"), ("acquired", "Beta Ltd", "reverse")]),
+        ("In partnership with Gamma Co, a tie-up with Delta Co; strategic alliance with Eta Co.", [("jv_with", x, "symmetric") for x in ("Gamma Co", "Delta Co", "Eta Co")]),
+        ("The parent company of Theta Foods. Its listed subsidiary is Iota Labs.", [("subsidiary_of", "Theta Foods", "reverse"), ("subsidiary_of", "Iota Labs", "reverse")]),
+        ("A key supplier of brake parts to Kappa Motors, supplier for Bank of Baroda, supplier to OEMs.", [("supplier_to", "Kappa Motors", "forward"), ("supplier_to", "Bank of Baroda", "forward")]),
+        ("It supplied wheel rims to Lambda Cars. Won Mu Rail contract. Vendor to Nu Steel.", [("supplier_to", x, "forward") for x in ("Lambda Cars", "Mu Rail", "Nu Steel")]),
+        ("It sources from Xi Mines.", [("supplier_to", "Xi Mines", "reverse")]),
+        ("Major customers are Pi Oil, Rho Gas and Tau Air. Key customers (IOCL 1.5 MMSCMD, BPCL 0.8 MMSCMD) grew.", [("customer_of", x, "forward") for x in ("IOCL", "BPCL", "Pi Oil", "Rho Gas", "Tau Air")]),
+        ("It has peers like Tata Motors, Ashok Leyland, and Eicher Motors which grew. It competes with Chinese imports.", [("competes_with", x, "symmetric") for x in ("Tata Motors", "Ashok Leyland", "Eicher Motors")]),
+        ("It was grouped with peers such as Pace Digitek.", []),
+    ],
+)
+def test_relation_patterns(text, want):
+    assert [(k, m, role) for k, m, _, _, role in extract.relations_of(text)] == want
+
+
 @pytest.mark.skipif(not os.path.isdir(ROOT), reason="no tables")
 @pytest.mark.parametrize("name", ["ego_bundle_as_of", "neighbors_all", "facts_topk", "entities_filtered_page", "resolve_nocase", "clustering", "lp_jaccard", "knn_ip", "rrf_hybrid", "fuzzy_duplicate_names", "stable_prefix_replace", "integrity_all", "coverage", "cycles_len4"])
 def test_queries_equal_sql(spark, name):
