@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 #: Elements of which the content is no text, or no markup.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select option datalist button textarea input audio video map".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas head title select option datalist button textarea input audio video map".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a head holds; any other start tag ends an open head.
+IN_HEAD = frozenset("meta link base basefont bgsound title style script noscript noframes template".split())
+#: Skipped elements that hold markup and may stand in themselves, or not.
+NESTED = frozenset("svg object template".split())
+HOLDS = NESTED | frozenset("noscript iframe canvas select datalist button audio video map".split())
 #: Elements that stand on lines of their own.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -63,16 +68,56 @@ class Node:
     place: int = -1
 
 
+def _raw_end(html: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the content of a raw element ends, and its end tag."""
+    end = re.compile(rf"</{re.escape(tag)}[\s/>]|$", re.I).search(html, at)
+    close = html.find(">", end.start())
+    return end.start(), len(html) if close < 0 else close + 1
+
+
+def _closed(html: str, at: int) -> set[int]:
+    """Places of the start tags in HOLDS, from ``at`` on, that have an end tag of their own."""
+    out: set[int] = set()
+    still: dict[str, list[int]] = {}
+    while (m := _TOKEN.search(html, at)) is not None:
+        at = m.end() if m.end() > m.start() else m.start() + 1
+        tag = (m[2] or "").lower()
+        if tag in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            at = _raw_end(html, tag, at)[1]
+        elif tag in HOLDS:
+            waiting = still.setdefault(tag, [])
+            if m[1]:
+                if waiting:
+                    out.add(waiting.pop())
+            elif not m[3].rstrip().endswith("/"):
+                if tag not in NESTED:
+                    waiting.clear()
+                waiting.append(m.start())
+    return out
+
+
 def parse(html: str) -> Node:
-    """The tree of a page; tags left open or out of order are mended."""
+    """The tree of a page; tags left open or out of order are mended.
+
+    A head ends at the first text or start tag that it cannot hold, and a skipped
+    element without an end tag at the next block, so that neither takes in the
+    text after it.
+    """
     root = Node("#root", None)
     now, at, n = root, 0, len(html)
+    head: Node | None = None
+    closed: set[int] | None = None
+    unclosed: list[Node] = []
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
+            if now is head and html[at:].strip():
+                now = head.parent
             now.children.append(html_lib.unescape(html[at:]))
             break
         if m.start() > at:
+            if now is head and html[at : m.start()].strip():
+                now, head = head.parent, None
             now.children.append(html_lib.unescape(html[at : m.start()]))
         at = m.end() if m.end() > m.start() else m.start() + 1
         tag = m[2]
@@ -88,6 +133,19 @@ def parse(html: str) -> Node:
             elif tag == "p":
                 now.children.append(Node("p", now))
             continue
+        if unclosed and tag in BLOCKS:
+            path = list(_path(now))
+            for x in unclosed:  # the outermost that is still open
+                if any(x is y for y in path):
+                    now = x.parent
+                    break
+            unclosed.clear()
+        if head is not None and tag not in IN_HEAD:
+            up = now
+            while up is not None and up is not head and (tag == "body" or up.tag not in HOLDS):
+                up = up.parent
+            if up is head or up is None:
+                now, head = now if up is None else head.parent, None
         if tag in CLOSES_P:
             up = now
             while up is not root and up.tag not in ("p", "td", "th", "li", "div", "table", "button", "section", "article", "body"):
@@ -111,11 +169,16 @@ def parse(html: str) -> Node:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]|$", re.I).search(html, at)
-            node.children.append(html[at : end.start()])
-            close = html.find(">", end.start())
-            at = n if close < 0 else close + 1
+            end, after = _raw_end(html, tag, at)
+            node.children.append(html[at:end])
+            at = after
             continue
+        if tag in HOLDS:
+            closed = _closed(html, m.start()) if closed is None else closed
+            if m.start() not in closed:
+                unclosed.append(node)
+        elif tag == "head":
+            head = node
         now = node
     return root
 

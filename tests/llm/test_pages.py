@@ -146,6 +146,25 @@ def test_decoding_is_consistent():
     assert main_text.decoded(nodes, score)[1:] == [True, True, True, False, True]
 
 
+def test_left_open_elements_keep_the_article(spark):
+    model = main_text.trained()
+    rest = "".join(f"<p>The committee of the harbour town met on day {i} and talked at length about the old bridge, the ferry and its crew.</p>" for i in range(6))
+    want = main_text.main_texts([f"<html><head><title>t</title></head><body><article>{rest}</article></body></html>"], model)[0]
+    assert want.count("harbour") == 6
+    article = f"<article>{rest}</article>"
+    pages = [
+        f"<html><head><title>t</title><body>{article}</body></html>",
+        f"<html><head><title>t</title><meta charset=utf-8>{article}</html>",
+        f"<html><head><noscript><style>p{{}}</style></noscript><title>t</title><body>{article}",
+        *[f"<html><head><title>t</title></head><body><{t}>{article}</body></html>" for t in ("noscript", "button", "select", "object", "svg", "canvas", "iframe", "video")],
+        f"<html><head><title>t</title></head><body><button>{article}<button>OK</button></body></html>",
+        f"<html><head><title>t</title></head><body><noscript><div>Enable scripts.</div></noscript>{article}</body></html>",
+    ]
+    assert main_text.main_texts(pages, model) == [want] * len(pages)
+    assert "harbour m=2 town" in main_text.main_texts([f"<article>{rest}<p>The harbour <math><mi>m</mi><mo>=</mo><mn>2</mn></math> town has a long word of prose, and more of it follows.</p></article>"], model)[0]
+    assert "".join(main_text.parse("<head><title>t</title>words").children[-1:]) == "words"
+
+
 # ------------------------------------------------------------------- op 9
 
 
