@@ -168,20 +168,10 @@ def test_left_open_elements_keep_the_article(spark):
 # ------------------------------------------------------------------- op 9
 
 
-def test_similar_groups(spark):
-    r = np.random.default_rng(0)
-    x = r.standard_normal((400, 16))
-    x[50:90] = x[50] + 0.05 * r.standard_normal((40, 16))
-    x[100:120] = x[0]  # equal vectors
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [math.nan] * 16), (903, [1.0, None] * 8), (904, [math.inf] * 16), (905, [1.0] * 3), (906, []), (None, x[0].tolist()), (907, (x[50] * 1e300).tolist())]
-    df = spark.createDataFrame([(*row, 1, 2) for row in rows], "vec_id long, embedding array<double>, id int, m int")
-    got = {y.vec_id: y for y in rp_forest.similar_groups(df, leaf_size=40).collect()}
-    assert len(got) == len(rows)
-    ids = [*range(400), 907]
-    full = np.concatenate([x, x[50:51]])
-    u = full / np.linalg.norm(full, axis=1, keepdims=True)
-    links = u @ u.T >= 0.9
+def linked(x, ids, least=0.9):
+    """Numbers of links and components by brute force."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= least
     np.fill_diagonal(links, False)
     parent = {i: i for i in ids}
 
@@ -190,26 +180,78 @@ def test_similar_groups(spark):
             i = parent[i]
         return i
 
-    for a, b in np.argwhere(links):
+    for a, b in np.argwhere(np.triu(links)):
         p, q = root(ids[a]), root(ids[b])
         parent[max(p, q)] = min(p, q)
+    return links.sum(axis=1), {i: root(i) for i in ids}
+
+
+def test_similar_groups(spark):
+    r = np.random.default_rng(0)
+    x = r.standard_normal((400, 16))
+    x[50:90] = x[50] + 0.05 * r.standard_normal((40, 16))
+    x[100:120] = x[0]  # equal vectors
+    short = r.standard_normal((30, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500 + i, v.tolist()) for i, v in enumerate(short)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [math.nan] * 16), (903, [1.0, None] * 8), (904, [math.inf] * 16), (905, [1.0] * 5), (906, []), (None, x[0].tolist()), (907, (x[50] * 1e300).tolist())]
+    df = spark.createDataFrame([(*row, 1, 2, b"x") for row in rows], "vec_id long, embedding array<double>, id int, m int, v binary")
+    got = {y.vec_id: y for y in rp_forest.similar_groups(df, leaf_size=40).collect()}
+    assert len(got) == len(rows)
+    ids = [*range(400), 907]
+    links, of = linked(np.concatenate([x, x[50:51]]), ids)
     found = sum(got[i].n_links for i in ids)
     assert found <= links.sum() and found >= 0.99 * links.sum()
-    assert all(got[i].n_links <= links[k].sum() for k, i in enumerate(ids))
-    assert sum(got[i].component_id == root(i) for i in ids) >= 0.99 * len(ids)
+    assert all(got[i].n_links <= links[k] for k, i in enumerate(ids))
+    assert sum(got[i].component_id == of[i] for i in ids) >= 0.99 * len(ids)
+    links, of = linked(short, list(range(500, 530)))  # vectors of a rarer length have links of their own
+    assert links.sum() > 0 and all((got[i].n_links, got[i].component_id) == (links[i - 500], of[i]) for i in of)
     for i in (900, 901, 902, 903, 904, 905, 906):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[None].n_links == 0
+    assert rp_forest.similar_groups(df.limit(0)).count() == 0
 
 
-def test_blocks_of_a_large_leaf(spark, monkeypatch):
+def test_recall_of_deep_forest(spark):
+    """20,000 vectors in 64 dimensions, groups of copies that reach down to the threshold, leaves of 500."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((20_000, 64)).astype(np.float32)
+    for k, noise in enumerate(np.repeat([0.1, 0.2, 0.3, 0.33], 100)):
+        at = 20 * k
+        x[at : at + 8] = x[at] + noise * r.standard_normal((8, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links, of = linked(x.astype(np.float64), list(range(len(x))))
+    got = {y.vec_id: y for y in rp_forest.similar_groups(df, leaf_size=500).collect()}
+    assert all(got[i].n_links <= links[i] for i in of)
+    assert links.sum() > 10_000 and sum(y.n_links for y in got.values()) >= 0.97 * links.sum()
+    assert sum(got[i].component_id == of[i] for i in of) >= 0.999 * len(of)
+    assert all(got[i].component_id >= of[i] for i in of)
+    # leaves that outgrew the sample are split where they are compared, or dealt into blocks, with the same links
+    for more in ({"sample_size": 64}, {"sample_size": 64, "held": 4000}):
+        again = rp_forest.similar_groups(df, leaf_size=500, **more).collect()
+        assert all(y.n_links <= links[y.vec_id] for y in again) and sum(y.n_links for y in again) >= 0.97 * links.sum()
+
+
+def test_repeated_identifiers_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 0.01])]
+    got = rp_forest.similar_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((y.vec_id, y.n_links, y.component_id) for y in got) == [(1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 1, 1), (4, 3, 1)]
+
+
+def test_blocks_of_a_large_leaf(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal(8) + 0.02 * r.standard_normal((300, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(rp_forest, "BLOCK", 64)
-    got = rp_forest.similar_groups(df, leaf_size=1000).collect()
-    assert all(y.n_links == 299 and y.component_id == 0 for y in got)
-    assert rp_forest.similar_groups(df.limit(0)).count() == 0
+    for leaf_size, held in ((1000, 128), (20, 128), (20, 1000)):
+        got = rp_forest.similar_groups(df, leaf_size=leaf_size, held=held).collect()
+        assert all(y.n_links == 299 and y.component_id == 0 for y in got)
+
+
+def test_threshold_in_double_precision(spark):
+    """A cosine of exactly 0.9 links, one just below it does not."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [9.0, math.sqrt(19.0), 0.0]), (3, [-1.0, 0.0, 0.0]), (4, [-0.9, 0.0, -math.sqrt(0.19) - 1e-9])]
+    cos = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True)) / math.sqrt(sum(p * p for p in a) * sum(q * q for q in b))
+    got = {y.vec_id: y.n_links for y in rp_forest.similar_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=cos(rows[0][1], rows[1][1])).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def test_components(spark):
