@@ -187,19 +187,20 @@ class Encoder:
 
     The byte-level pre-tokenizer always breaks before a single space that
     stands between two other characters, so the pieces between such spaces can
-    be encoded one by one, each distinct one once.
+    be encoded one by one, each distinct one once.  Texts that hold an added
+    token, such as the end of a text, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         pre = self.tok.pre_tokenizer
         self.by_word = self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
         self.id_bytes = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.id_bytes == 2 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.after_space = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -233,8 +234,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if not self.by_word:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = [i for i, t in enumerate(texts) if not self.by_word or any(x in t for x in self.added)]
+        if whole:
+            out = dict(zip(whole, (np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)), strict=True))
+            others = [i for i in range(len(texts)) if i not in out]
+            out.update(zip(others, self.encode([texts[i] for i in others]) if others else [], strict=True))
+            return [out[i] for i in range(len(texts))]
         first, rest = [], []
         for t in texts:
             p = self.pieces(t)
@@ -273,15 +278,18 @@ def write_tables(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc_id
     ``end_id`` is appended to each document.  Returns one row a table: shard
     (its place in the order), uri, entries, ids, bytes.  Null text counts as
     empty; null identifiers come first; rows that share an identifier are kept
-    side by side, in the order of their text; further columns are ignored; an
-    empty input gives no table.  File names hold the attempt, and only those
+    side by side, in the order of a hash of their text, by which a very common
+    identifier is also dealt over several tables; a text of any length is one
+    entry; further columns, whatever their names, are ignored; an empty input
+    gives no table.  File names hold the attempt, and only those
     named in the returned (written) rows count, so that a task that runs twice
     after the loss of an executor does no harm.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    order = [F.col("k").asc_nulls_first(), F.col("h")]
+    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

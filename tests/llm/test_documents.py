@@ -130,7 +130,7 @@ def test_token_tables(spark, docs, odd, tmp_path):
     tables = token_sst.write_tables(docs, f"{tmp_path}/t", tokenizer_path())
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in token_sst.read_tables(tables).collect())
     at, want = 0, []
-    for i, t, *_ in sorted(odd, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
+    for i, t, *_ in sorted(odd, key=lambda r: -1 if r[0] is None else r[0]):  # the only repeated rows are equal
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((-1 if i is None else i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -153,11 +153,28 @@ def test_token_tables_empty(empty, tmp_path):
 
 
 def test_encoder_matches_whole_texts():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
     enc, r = token_sst.Encoder(tokenizer_path()), random.Random(5)
-    texts = ["", " ", "  a  b", "a\n b ", "x\x1c y", "it's 12,3 \n\n z", "é 日本 😀 x", "a <|endoftext|> b"]
-    texts += ["".join(r.choice(["a", "B", " ", " ", "\n", ",", "'s", "é", "1", "Ġ", "\x85", "​"]) for _ in range(40)) for _ in range(400)]
-    want = [np.array(enc.tok.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    texts = ["", " ", "  a  b", "a\n b ", "x\x1c y", "it's 12,3 \n\n z", "é 日本 😀 x", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a <|endoftext| > b"]
+    texts += ["".join(r.choice(["a", "B", " ", " ", "\n", ",", "'s", "é", "1", "Ġ", "\x85", "​", *(["<|endoftext|>"] if k % 4 == 0 else [])]) for _ in range(40)) for k in range(400)]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
     assert enc.encode(texts) == want and enc.encode(texts) == want
+    assert np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], enc.dtype).tolist() == [64, 220, 50256, 275]
+
+
+def test_one_identifier_over_several_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text number {i}") for i in range(200)] + [(9, "last"), (1, None)], "doc_id long, text string")
+    tables = token_sst.write_tables(docs, f"{tmp_path}/t", tokenizer_path(), partitions=4)
+    assert tables.where("entries > 20").count() > 1
+    got = sorted(token_sst.read_tables(tables).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [1] + [7] * 200 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    readers = [token_sst.TableReader(r.uri) for r in tables.collect()]
+    assert sum(len(x.get(7)) for x in readers) == 200
+    for x in readers:
+        x.close()
 
 
 def test_table_blocks_and_filter(tmp_path):
