@@ -17,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_graph": url_graph.SQL}

@@ -40,21 +40,80 @@ def test_rules(spark):
     assert url_graph.judged(pages(spark, [])).count() == 0
 
 
+def rank_by_brute_force(edges, seeds):
+    hosts = sorted({x for e in edges for x in e} | set(seeds))
+    place = {h: i for i, h in enumerate(hosts)}
+    m, out = np.zeros((len(hosts), len(hosts))), {}
+    for (a, _), n in edges.items():
+        out[a] = out.get(a, 0) + n
+    for (a, b), n in edges.items():
+        m[place[b], place[a]] = 0.85 * n / out[a]
+    x = np.linalg.solve(np.eye(len(hosts)) - m, [0.15 * seeds.get(h, 0) for h in hosts])
+    return dict(zip(hosts, x.tolist(), strict=True))
+
+
 def test_rank_by_brute_force(spark):
     r = random.Random(1)
     edges = {(a, b): float(r.randint(1, 3)) for a in "abcdef" for b in "abcdef" if a != b and r.random() < 0.4}
-    seeds = {"a": 0.5, "b": 0.25}
-    df = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n double")
-    got = {x.host: x.score for x in url_graph.personalised(df, spark.createDataFrame(list(seeds.items()), "host string, seed double"), rounds=60).collect()}
-    out = {a: sum(n for (x, _), n in edges.items() if x == a) for a in "abcdef"}
-    rank = dict(seeds)
-    for _ in range(60):
-        new = {h: 0.15 * s for h, s in seeds.items()}
-        for (a, b), n in edges.items():
-            if a in rank:
-                new[b] = new.get(b, 0) + 0.85 * rank[a] * n / out[a]
-        rank = new
-    assert got.keys() == rank.keys() and all(abs(got[h] - rank[h]) < 1e-6 for h in rank)
+    for edges in (edges, {("a", "b"): 1.0, ("b", "a"): 1.0}):
+        seeds = {"a": 0.5, "b": 0.25}
+        df = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n double")
+        got = {x.host: x.score for x in url_graph.personalised(df, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
+        want = rank_by_brute_force(edges, seeds)
+        assert all(abs(got.get(h, 0) - x) < 1e-11 for h, x in want.items())
+
+
+LINKS = "page_id long, url string, html string, k string"
+
+
+def linked_pages(n_hosts, per_host, seed):
+    """Pages of hosts that link to each other at random, some of them ruled."""
+    r, rows = random.Random(seed), []
+    names = [f"h{i}.example.com" if i % 9 == 0 else f"h{i}.com" if i % 5 == 0 else f"h{i}.info" for i in range(n_hosts)]
+    for i, name in enumerate(names):
+        for k in range(per_host):
+            path = r.choice(["/en/7", "/en/1", "/x"])
+            to = [names[min(n_hosts - 1, int(r.expovariate(3 / n_hosts)))] for _ in range(r.randint(0, 3))]
+            links = "".join(f"<a class='x' data-href='//no.where/' href={r.choice(['', chr(34)])}{r.choice(['http://', '//', 'HTTPS://'])}{t.upper()}/p?q>x</a>" for t in to)
+            rows.append((i * per_host + k, f"http://{name}{path}", f"<p>{links}<a href='/local'>y</a>", "k"))
+    return rows
+
+
+def test_verdicts_on_linked_hosts_by_brute_force(spark):
+    rows = linked_pages(300, 4, 5)
+    host = lambda u: u.split("/")[2]
+    edges, good, bad, ruled = {}, {}, {}, {}
+    for i, url, html, _ in rows:
+        h, path = host(url), "/" + url.split("/", 3)[3]
+        ruled[i] = None
+        if h.endswith(".com") and path.startswith("/en/"):
+            ruled[i] = "allow" if h.endswith(".example.com") and path.startswith("/en/7") else "block"
+            seeds = good if ruled[i] == "allow" else bad
+            seeds[h] = seeds.get(h, 0) + 1 / len(rows)
+        for t in re.findall(r" href=\"?(?:http:|https:|)//([^/]*)/p", html, re.I):
+            if t.lower() != h:
+                edges[h, t.lower()] = edges.get((h, t.lower()), 0) + 1.0
+    trust, distrust = rank_by_brute_force(edges, good), rank_by_brute_force({(b, a): n for (a, b), n in edges.items()}, bad)
+    got = url_graph.judged(spark.createDataFrame(rows, LINKS)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        t, d = trust.get(x.host, 0), distrust.get(x.host, 0)
+        assert abs(x.trust - t) < 1e-10 and abs(x.distrust - d) < 1e-10
+        assert x.verdict == (ruled[x.page_id] or ("block" if d > t * (1 + 1e-6) else "allow"))
+    verdicts = [x.verdict for x in got if x.rule is None]
+    assert 20 < verdicts.count("block") < len(verdicts) - 20
+
+
+def test_url_graph_sql_on_linked_hosts(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame(linked_pages(60, 3, 6), LINKS).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = url_graph.op4_url_graph(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({url_graph.SQL})").fetchall()
+    plain = lambda rows: sorted((*r[:5], f"{r[5]:.8f}", f"{r[6]:.8f}") for r in ((r[0], r[1], r[2], r[3] or "", *r[4:]) for r in map(tuple, rows)))
+    assert plain(got.collect()) == plain(want)
 
 
 def test_distrust_reaches_who_links_to_blocked(spark):
@@ -62,6 +121,11 @@ def test_distrust_reaches_who_links_to_blocked(spark):
     rows = [(i, "http://bad.com/en/%d" % i, "") for i in range(8)] + [(20, "http://friend.info/", link), (21, "http://other.info/", "<a href='/local'>"), (22, "http://other.info/2", None)]
     got = {r.page_id: r.verdict for r in url_graph.judged(pages(spark, rows)).collect()}
     assert (got[20], got[21], got[22]) == ("block", "allow", "allow")
+    # more trust than distrust: an allowed host links to it as well, or it is on the list
+    rows += [(30 + i, "http://example.com/en/7", "<a href=//friend.info/>") for i in range(20)]
+    assert {r.page_id: r.verdict for r in url_graph.judged(pages(spark, rows)).collect()}[20] == "allow"
+    trusted = ["friend.info"]
+    assert {r.page_id: r.verdict for r in url_graph.judged(pages(spark, rows[:11] + [rows[8]] * 40), trusted=trusted).collect()}[20] == "allow"
 
 
 # ------------------------------------------------------------------- op 6
