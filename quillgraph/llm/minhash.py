@@ -14,8 +14,12 @@ No group's pairs are all made.  Equal sets are one class with one
 representative.  Within a band each member is first compared with one member,
 that which meets most others (a cluster's centre); members already in one
 component need no further comparison.  Only members of one band that are still
-in different components are then compared; members of large bands meet in
-blocks, with their full sets, and give links alone.
+in different components are then compared.  Those of large bands are first
+parted by shingles: sets that are similar enough share one of the rarest
+shingles of each (its prefix), so only members that share one meet, and members
+of a band that have merely a passage in common do not.  Where even such a
+shingle has many members, they meet in blocks, with their full sets, and give
+links alone.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, dropped, slices, utf8, written
@@ -36,7 +40,8 @@ COORDS = BANDS * ROWS
 #: Of 128 signature bits, pairs that differ in more are not compared: at
 #: similarity 0.8 the mean is 12.8 and 40 is eight deviations off.
 SKETCH_BITS = 40
-#: Up to so many members of a band are compared as pairs; more in blocks.
+#: Up to so many members of a band or shingle are compared as pairs; of larger
+#: ones the same pairs are, by way of shingles and blocks.
 FEW = 48
 BLOCK = 256
 
@@ -138,10 +143,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(out, "confirmed")
 
 
+def by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) among members of large bands, and members of large
+    groups in the columns of ``left``, which are to be compared in blocks.
+
+    With shingles in the order of how many members have them, two sets of n and
+    more shingles that are similar enough share one of the first n - ceil(percent
+    * n / 100) + 1 of each.  Each shingle of a member is a row three times, so
+    what is shuffled grows with the members' texts and not with their pairs.
+    """
+    members = left.select("id", "component", "n", "s1", "s2").distinct()
+    # an identifier with several texts has several sets
+    rows = members.select("id").distinct().join(sets.select("id", F.col("n").cast("long").alias("size"), F.xxhash64("shingles").alias("key"), F.explode("shingles").alias("t")), "id")
+    count = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = rows.join(count, "t")
+    mine = Window.partitionBy("id", "key")
+    common = common.select("id", "size", "t", F.row_number().over(mine.orderBy("df", "t")).alias("r"), F.count(F.lit(1)).over(mine).alias("k"))
+    # shingles that nobody else has come first and take up places of the prefix
+    first = common.join(members, "id").where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("k"))).select("t", *members.columns)
+    first = written(first, "prefixes")
+    sizes = written(first.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1 and lo <> hi").select("t", "m"), "prefix-sizes")
+    first = written(first.join(sizes, "t"), "shared-prefixes")
+    x, y = first.where(F.col("m") <= FEW).alias("x"), first.where(F.col("m") <= FEW).alias("y")
+    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), first.where(F.col("m") > FEW).withColumnRenamed("t", "band")
+
+
 def in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of large bands that are in different components.
+    """Links between members of large groups (``band``) that are in different components.
 
-    Within a band the members of its largest component need no comparison with
+    Within a group the members of its largest component need no comparison with
     each other.  They and the others are dealt into blocks by hash; each block
     of others meets each block of either in a cell, with their full sets, and a
     cell counts all its intersections as a product of incidence matrices.  No
@@ -152,16 +183,17 @@ def in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     per = per.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     per = per.select("band", F.col("top.component").alias("main"), blocks(F.col("top.k")).alias("n_main"), blocks(F.col("m") - F.col("top.k")).alias("n_rest"))
-    rows = left.select("band", "id", "component").join(per, "band").withColumn("in_main", F.col("component") == F.col("main"))
+    per = written(per.where("n_rest > 0"), "block-counts")
+    rows = left.select("band", "id", "component", "s1", "s2").join(per, "band").withColumn("in_main", F.col("component") == F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j, side, alone: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), alone.alias("alone"))
     own, no = F.col("own"), F.lit(False)
     of_main = F.transform(upto("n_rest"), lambda j: cell(0, own, j, F.lit(-1), no))
     of_rest = F.concat(F.transform(upto("n_main"), lambda i: cell(0, i, own, F.lit(-2), no)), F.transform(upto("n_rest"), lambda k: cell(1, F.least(own, k), F.greatest(own, k), own, own == k)))
-    cells = rows.select("band", "id", "component", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("c"))
-    cells = cells.select("id", "component", F.col("c.side").alias("own"), F.xxhash64("band", "c.kind", "c.i", "c.j").alias("cell"), "c.alone")
-    full = cells.join(sets, "id").select("cell", "alone", "own", "id", "component", "shingles")
+    cells = rows.select("band", "id", "component", "s1", "s2", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("c"))
+    cells = cells.select("id", "component", "s1", "s2", F.col("c.side").alias("own"), F.xxhash64("band", "c.kind", "c.i", "c.j").alias("cell"), "c.alone")
+    full = cells.join(sets, "id").select("cell", "alone", "own", "id", "component", "s1", "s2", "shingles")
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = full.repartition(n, "cell").sortWithinPartitions("cell")
 
@@ -172,7 +204,8 @@ def in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             column = lambda k: table.column(k).combine_chunks()
             sets = [x.values.to_numpy() for x in column("shingles")]
-            pairs = joining_links(column("id").to_numpy(), column("component").to_numpy(), None if column("alone")[0].as_py() else column("own").to_numpy(), sets, percent)
+            sketch = np.stack((column("s1").to_numpy(), column("s2").to_numpy()), axis=1).view(np.uint64)
+            pairs = joining_links(column("id").to_numpy(), column("component").to_numpy(), None if column("alone")[0].as_py() else column("own").to_numpy(), sets, sketch, percent)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -191,7 +224,7 @@ def in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(full.mapInArrow(compare, "a long, b long"), "block-links")
 
 
-def joining_links(ids: np.ndarray, component: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def joining_links(ids: np.ndarray, component: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray], sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Of all pairs (between blocks ``own``, if given) that are similar enough,
     such as join the components into as few as can be."""
     n, k = np.array([len(s) for s in sets], np.int64), len(sets)
@@ -211,6 +244,7 @@ def joining_links(ids: np.ndarray, component: np.ndarray, own: np.ndarray | None
         m[row[i:j], col[i:j] - lo] = 1
         both += m @ m.T
     similar = (both * 100 >= (n[:, None] + n[None, :] - both) * percent) & (component[:, None] != component[None, :])
+    similar &= np.bitwise_count(sketch[:, None] ^ sketch[None, :]).sum(axis=2) <= SKETCH_BITS  # as with pairs
     if own is not None:
         similar &= own[:, None] != own[None, :]
     parent: dict[int, int] = {}
@@ -239,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whether that is the document itself.  Null or wordless texts have an empty
     set and are linked with nothing.  Rows that share an identifier count as
     one document with all their texts.  A null identifier has a null component
-    and is kept.  An empty table gives no rows; further columns are ignored.
+    and is kept.  Texts may be of any length; a set travels as 8 bytes a shingle.
+    An empty table gives no rows; further columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = written(signed(rows, size), "signed")
@@ -248,7 +283,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, "classes")
     reps = classed.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"])
     member = written(reps.select(F.explode("bands").alias("band"), "id", F.col("n").cast("int").alias("n"), "s1", "s2"), "bands")
-    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # what a band is joined with is a written table, so that a band with many members can be split
+    sizes = written(member.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "band-sizes")
     member2 = written(member.join(sizes, "band"), "shared-bands")
     dropped(member)
     member = member2
@@ -258,6 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = member.groupBy("id").agg(F.sum("m").alias("degree"))
     ranked = member.join(degree, "id")
     centre = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n", "s1", "s2")).alias("c")).select("band", "c.id", "c.n", "c.s1", "c.s2")
+    centre = written(centre, "centres")
     x, c = member.alias("x"), centre.alias("c")
     star = x.join(c, (F.col("x.band") == F.col("c.band")) & (F.col("x.id") != F.col("c.id")) & _close("x", "c", percent))
     star = written(star.select(F.least("x.id", "c.id").alias("a"), F.greatest("x.id", "c.id").alias("b")).distinct(), "star")
@@ -269,15 +306,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = member.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     state = written(state, "state")
     apart = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("k")).where("lo <> hi and k > 2").select("band")
+    apart = written(apart, "bands-apart")
     left = written(state.join(apart, "band"), "apart")
     dropped(state)
     x, y = left.where(F.col("m") <= FEW).alias("x"), left.where(F.col("m") <= FEW).alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = written(pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(confirmed(rest, sets, percent)).unionByName(in_blocks(left.where(F.col("m") > FEW), sets, percent))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    large = left.where(F.col("m") > FEW)
+    if not large.isEmpty():
+        more, crowds = by_prefix(large, sets, percent)
+        pairs = pairs.unionByName(more)
+        if not crowds.isEmpty():
+            links = links.unionByName(in_blocks(crowds, sets, percent))
+    rest = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(confirmed(rest, sets, percent))
     joined = components(links)
-    for table in (sets, member, star, left, rest):
+    for table in (sets, member, sizes, centre, apart, star, left, rest):
         dropped(table)
     of_class = classes.join(joined, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # an identifier with several texts: its classes count as one through its own id

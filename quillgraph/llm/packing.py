@@ -16,8 +16,10 @@ from .shared import n_words, written
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: Rows of a bucket that are numbered in one task, about.
+#: Rows of a bucket that are numbered in one task, about, as long as the buckets
+#: have at most 16^PART_DIGITS parts each; then the parts grow.
 ROWS_A_TASK = 50_000
+PART_DIGITS = 3
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -79,6 +81,12 @@ def histogram(lengths: DataFrame, most: int | None = None) -> tuple[np.ndarray,
     return at, n
 
 
+def seeded(seed: int, id_col: str, length: str = "length") -> Column:
+    """A 60-bit number from the md5 of seed, identifier and length, which any engine can compute."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(length).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, seed: int = 0) -> DataFrame:
     """Adds length, bucket, bucket_length, batch and slot to each row.
 
@@ -86,12 +94,16 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", n_buckets: i
     as fit the token budget, one at least, so that a document longer than the
     budget is a batch of its own and nothing is cut.  ``batch`` counts from 0 in
     each bucket, ``slot`` within the batch.  Rows are numbered in the order of a
-    seeded hash: each bucket is split by hash into parts that are numbered in
-    tasks of their own, after the sizes of the parts before.  Null and empty
-    texts have length 0; repeated rows and null identifiers are packed like any
-    other; an empty table gives no rows.
+    seeded hash, null identifiers last: each bucket is split by the hash into
+    parts (null identifiers by their place in ``docs``) that are numbered in
+    tasks of their own; the numbers are written, and from what was written come
+    the sizes of the parts before, of which there are at most n_buckets times
+    twice 16^3.  Null and empty texts have length 0; repeated rows are packed
+    like any other, each with a seat of its own; columns of the names added give
+    way to them; an empty table gives no rows.
     """
-    rows = docs.withColumn("length", length)
+    keep = [c for c in docs.columns if c not in ("length", "bucket", "bucket_length", "batch", "slot")]
+    rows = docs.select(*[f"`{c}`" for c in keep], length.cast("long").alias("length"))
     lengths, counts = histogram(rows.select("length"))
     ends = boundaries(lengths, counts, n_buckets)
     if not ends:
@@ -100,27 +112,49 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", n_buckets: i
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("length") <= ends[i], i).otherwise(bucket)
     most = max(int(counts[(lengths > lo) & (lengths <= hi)].sum()) for lo, hi in zip([-1, *ends], ends))
-    parts = max(1, 1 << (-(-most // ROWS_A_TASK) - 1).bit_length()) * 4
-    rows = rows.withColumn("bucket", bucket).withColumn("hash_", F.xxhash64(F.lit(seed), F.col(id_col)))
-    # the upper bits of the hash, so that parts follow one another in hash order
-    rows = rows.withColumn("part_", F.pmod(F.shiftright("hash_", 40), F.lit(parts)).cast("int"))
-    sizes = rows.groupBy("bucket", "part_").agg(F.count(F.lit(1)).alias("n"))
+    digits = min(PART_DIGITS, next(k for k in range(16) if most <= ROWS_A_TASK << 4 * k))
+    rows = rows.withColumns({"bucket": bucket, "hash_": seeded(seed, id_col)})
+    # the upper digits of the hash, so that parts follow one another in its order; then those without an identifier
+    none = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 4 * digits)) + (1 << 4 * digits)
+    rows = rows.withColumn("part_", F.when(F.col(id_col).isNull(), none).otherwise(F.shiftright("hash_", 60 - 4 * digits)).cast("int"))
+    own = Window.partitionBy("bucket", "part_").orderBy("hash_", id_col)
+    seats = written(rows.withColumn("own_", F.row_number().over(own) - 1).drop("hash_"), "pack-seats")
+    sizes = seats.groupBy("bucket", "part_").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset_", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = Window.partitionBy("bucket", "part_").orderBy("hash_", id_col, "length")
-    got = rows.withColumn("own_", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["bucket", "part_"])  # buckets x parts rows
+    got = seats.join(F.broadcast(offsets), ["bucket", "part_"])  # at most n_buckets * 2 * 16^PART_DIGITS rows
     end = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(end, F.lit(1))))
     place = F.col("own_") + F.col("offset_")
-    keep = [f"`{c}`" for c in docs.columns if c not in ("length", "bucket", "bucket_length", "batch", "slot")]
-    return got.select(*keep, "length", "bucket", end.alias("bucket_length"), F.floor(place / room).alias("batch"), (place % room).cast("int").alias("slot"))
+    return got.select(*[f"`{c}`" for c in keep], "length", "bucket", end.alias("bucket_length"), F.floor(place / room).alias("batch"), (place % room).cast("int").alias("slot"))
 
 
 def pack_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, length (words), bucket, bucket_length, batch, slot."""
+    """One row a document: doc_id, length (words of the whole text, however long), bucket, bucket_length, batch, slot."""
     rows = written(docs.select(F.col(id_col), n_words(F.col(text_col).cast("string")).alias("words")), "pack-lengths")
     return packed(rows, F.col("words"), id_col).drop("words")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: f[k, j], the least padded size of the first j lengths in k buckets, by
+#: recursion over k; then the ends from the last length back, and the seats.
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS length FROM documents),
+hist AS (SELECT length, row_number() OVER (ORDER BY length) AS j, sum(count(*)) OVER (ORDER BY length) AS upto FROM docs GROUP BY length),
+points AS (SELECT 0 AS j, 0::BIGINT AS length, 0::HUGEINT AS upto UNION ALL SELECT j, length, upto FROM hist),
+f(k, j, size, i) AS (
+  SELECT 1, j, length * upto, 0::BIGINT FROM hist
+  UNION ALL
+  SELECT k + 1, q.j, min(size + q.length * (q.upto - p.upto)), arg_min(p.j, struct_pack(a := size + q.length * (q.upto - p.upto), b := p.j))
+  FROM f JOIN points p ON p.j = f.j JOIN hist q ON q.j > p.j WHERE k < 16 GROUP BY k, q.j),
+best AS (SELECT k, j, i FROM f WHERE j = (SELECT max(j) FROM hist) ORDER BY size, k LIMIT 1),
+back(k, j, i) AS (SELECT k, j, i FROM best UNION ALL SELECT f.k, f.j, f.i FROM back JOIN f ON f.k = back.k - 1 AND f.j = back.i WHERE back.i > 0),
+ends AS (SELECT h.length AS bucket_length, row_number() OVER (ORDER BY h.length) - 1 AS bucket, coalesce(lag(h.length) OVER (ORDER BY h.length), -1) AS low FROM back JOIN hist h USING (j)),
+seats AS (
+  SELECT doc_id, length, bucket, bucket_length, greatest(1, 65536 // greatest(bucket_length, 1)) AS room,
+         row_number() OVER (PARTITION BY bucket ORDER BY doc_id IS NULL, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || length), 1, 15))::BIGINT, doc_id) - 1 AS place
+  FROM docs JOIN ends ON length <= bucket_length AND length > low)
+SELECT doc_id, length, bucket::INTEGER AS bucket, bucket_length, place // room AS batch, (place % room)::INTEGER AS slot FROM seats"""

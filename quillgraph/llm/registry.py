@@ -17,4 +17,9 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op4_url_graph": url_graph.SQL}
+ORACLES: dict[str, str] = {
+    "op4_url_graph": url_graph.SQL,
+    "op5_mixing": mixing.SQL,
+    "op6_warc": warc.SQL,
+    "op10_packing": packing.SQL,
+}

@@ -24,6 +24,8 @@ from .shared import new_path, open_file, put_file, slices, written
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 64 << 10
+#: A file of so many bytes is closed and another begun.
+FILE_BYTES = 1 << 30
 
 
 def digest(data: bytes) -> str:
@@ -118,43 +120,62 @@ class Reader:
 
 def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     """Adds ``refers_to``: the smallest page_id of an equal payload of at least
-    ``least`` bytes, where that is another one.  Payloads are grouped by their
-    digest; only groups of several are joined back."""
+    ``least`` bytes, where that is another one; and ``single``: whether that
+    smallest page_id stands there once, so that its record can be named.  Payloads
+    are grouped by their digest; only groups of several are joined back."""
     key = F.sha1(F.col("payload"))
     keys = pages.select("page_id", key.alias("k"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
-    first = keys.groupBy("k").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
-    first = written(first.select("k", "first"), "originals")
+    each = keys.groupBy("k", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    low = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "c")))
+    first = each.groupBy("k").agg(low.alias("f"), F.sum("c").alias("c")).where("c > 1")
+    first = written(first.select("k", F.col("f.page_id").alias("first"), (F.coalesce("f.c", F.lit(0)) == 1).alias("single")), "originals")
     out = pages.withColumn("k", key).join(first, "k", "left")
-    return out.withColumn("refers_to", F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("page_id")), F.col("first"))).drop("k", "first")
+    refers = F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull() & (F.octet_length("payload") >= least)), F.col("first"))
+    # a payload below ``least`` is not grouped, so whether its page_id repeats is not known
+    alone = F.when(F.octet_length("payload") < least, False).when(F.col("page_id").isNull() & refers.isNull(), False).otherwise(F.coalesce("single", F.lit(True)))
+    return out.withColumns({"refers_to": refers, "single": alone}).drop("k", "first")
 
 
-def write_archives(pages: DataFrame, to: str) -> DataFrame:
-    """Writes (page_id, url, payload, refers_to), an archive a partition; rows: uri, records, bytes."""
+def write_archives(pages: DataFrame, to: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes (page_id, url, payload, refers_to, single) in archives of about
+    ``file_bytes`` at most; rows: uri, records, bytes.
+
+    A response that stands alone is named by its page_id and payload, and its
+    revisits name it; all other records are named by their place in the file, so
+    that no two records share a name.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ctx, n = TaskContext.get(), [0]
-        name = f"pages-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.gz"
-
-        def chunks(rows: Iterable[dict]) -> Iterator[bytes]:
-            yield info_bytes(name)
-            for r in rows:
-                n[0] += 1
-                fields = {"X-Page-ID": "" if r["page_id"] is None else str(r["page_id"])}
-                kind = "response" if r["refers_to"] is None else "revisit"
-                if kind == "revisit":
-                    fields |= {"WARC-Refers-To": record_id(f"page:{r['refers_to']}"), "WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(r["refers_to"])}
-                yield record_bytes(kind, r["url"], record_id(f"page:{r['page_id']}"), r["payload"], fields)
-
+        ctx = TaskContext.get()
         rows = (r for b in batches for part in slices(b, "payload", 1 << 20) for r in part.to_pylist())
-        head = next(rows, None)
-        if head is None:
-            return
-        size = put_file(f"{to}/{name}", chunks(x for part in ([head], rows) for x in part))
-        yield pa.RecordBatch.from_pylist([{"uri": f"{to}/{name}", "records": n[0], "bytes": size}])
-
-    rows = pages.select("page_id", "url", "payload", "refers_to")
+        head, number = next(rows, None), 0
+        while head is not None:
+            name = f"pages-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{number:04d}.warc.gz"
+            state = {"next": head, "n": 0}
+
+            def chunks(name: str = name, state: dict = state) -> Iterator[bytes]:
+                size = len(info := info_bytes(name))
+                yield info
+                while (r := state["next"]) is not None and (size < file_bytes or not state["n"]):
+                    fields = {"X-Page-ID": "" if r["page_id"] is None else str(r["page_id"])}
+                    named = lambda page_id: record_id(f"page:{page_id}:{digest(r['payload'])}")  # noqa: B023, E731
+                    own, kind = f"{name}:{state['n']}", "response" if r["refers_to"] is None else "revisit"
+                    if kind == "revisit":
+                        fields |= {"WARC-Refers-To": named(r["refers_to"])} if r["single"] else {}
+                        fields |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(r["refers_to"])}
+                    data = record_bytes(kind, r["url"], named(r["page_id"]) if kind == "response" and r["single"] else record_id(own), r["payload"], fields)
+                    state["n"] += 1
+                    size += len(data)
+                    yield data
+                    state["next"] = next(rows, None)
+
+            size = put_file(f"{to}/{name}", chunks())
+            yield pa.RecordBatch.from_pylist([{"uri": f"{to}/{name}", "records": state["n"], "bytes": size}])
+            head, number = state["next"], number + 1
+
+    rows = pages.select("page_id", "url", "payload", "refers_to", "single")
     return written(rows.mapInArrow(write, "uri string, records long, bytes long"), "archives")
 
 
@@ -197,7 +218,8 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     The payload is the html in UTF-8 (null: empty).  Rows with the smallest
     identifier of a group are responses, all of them if it repeats; a null
     identifier refers to the group's smallest, or is a response where the group
-    has none.  An empty table gives no rows; other columns are ignored.
+    has none.  Payloads may be of any length; a record is held in memory whole.
+    An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = with_originals(rows, least)
@@ -207,3 +229,14 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), 0)
+
+
+#: The digest's 160 bits in letters of five: five hexadecimal digits are four letters.
+SQL = """
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM paid)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts"""

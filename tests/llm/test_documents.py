@@ -228,6 +228,9 @@ def test_near_duplicates(docs, odd, size):
 
 def test_large_group_in_blocks(spark, monkeypatch):
     """A group far larger than what is compared as pairs, without a common centre."""
+    made = minhash.in_blocks
+    used = []
+    monkeypatch.setattr(minhash, "in_blocks", lambda *a: used.append(1) or made(*a))
     r = random.Random(9)
     base = [f"w{r.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -239,9 +242,38 @@ def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 8)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     got = minhash.near_duplicates(frame(spark, rows), size=2).collect()
+    assert used
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 2, 80)
 
 
+def test_passages_in_common_do_not_meet_in_blocks(spark, monkeypatch):
+    """Members of one band that share half of their words: none is linked, each is a few rows, no blocks are made."""
+    r = random.Random(10)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"o{i}x{k}" for k in range(50)]), "en", "s") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " tail", "en", "s") for i in range(20)]
+    monkeypatch.setattr(minhash, "FEW", 8)
+    monkeypatch.setattr(minhash, "in_blocks", lambda *a: pytest.fail("no group is large"))
+    got = minhash.near_duplicates(frame(spark, r.sample(rows, len(rows))), size=2).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 2, 80)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Candidates by prefix hold all pairs of enough similarity, whatever the order of the shingles."""
+    r = random.Random(11)
+    sets = [sorted({r.randrange(60) for _ in range(r.randint(1, 25))}) for _ in range(120)]
+    sets += [sorted({*s[1:], 70 + k}) for k, s in enumerate(sets[:60]) if len(s) > 3]
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "id long, n long, shingles array<long>")
+    left = df.selectExpr("id", "id as component", "n", "0L as s1", "0L as s2")
+    pairs, crowds = minhash.by_prefix(left, df, 80)
+    got = {tuple(x) for x in pairs.collect()}
+    for same in {x.band: None for x in crowds.collect()}:
+        own = sorted(x.id for x in crowds.collect() if x.band == same)
+        got |= {(a, b) for a in own for b in own if a < b}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(i := set(sets[a]) & set(sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(i))}
+    assert len(want) > 20 and want <= got
+
+
 def test_one_identifier_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (7, b, "en", "s")]
@@ -305,6 +337,86 @@ def test_flow_prefers_fewer_repeats():
     assert mixing.min_cost_flow([10], [[0]], [100]) == [{0: 30}]
 
 
+def brute_flow(supply, members, quota, repeats=3):
+    """Size and cost of a least-cost largest flow, word by word along cheapest paths."""
+    left, room, use, sent = [], list(quota), [0] * len(supply), [[0] * len(quota) for _ in supply]
+    while True:
+        best = None
+        for p in range(len(supply)):
+            if use[p] == supply[p] * repeats:
+                continue
+            seen, queue = {("p", p): None}, [("p", p)]
+            while queue:
+                kind, x = queue.pop(0)
+                near = [("s", y) for y in members[x]] if kind == "p" else [("p", q) for q in range(len(supply)) if sent[q][x]]
+                for y in near:
+                    if y not in seen:
+                        seen[y] = (kind, x)
+                        queue.append(y)
+            ends = [s for s in range(len(quota)) if ("s", s) in seen and room[s]]
+            cost = use[p] // supply[p]
+            if ends and (best is None or cost < best[0]):
+                best = (cost, p, ends[0], seen)
+        if best is None:
+            return sum(use), left
+        cost, p, s, seen = best
+        left.append(cost)
+        room[s] -= 1
+        use[p] += 1
+        at = ("s", s)
+        while seen[at] is not None:
+            up = seen[at]
+            if at[0] == "s":
+                sent[up[1]][at[1]] += 1
+            else:
+                sent[at[1]][up[1]] -= 1
+            at = up
+
+
+def test_flow_by_brute_force():
+    r = random.Random(12)
+    for _ in range(60):
+        n_p, n_s = r.randint(1, 5), r.randint(1, 4)
+        supply = [r.randint(1, 6) for _ in range(n_p)]
+        members = [sorted(r.sample(range(n_s), r.randint(1, n_s))) for _ in range(n_p)]
+        quota = [r.randint(0, 15) for _ in range(n_s)]
+        flow = mixing.min_cost_flow(supply, members, quota)
+        size, costs = brute_flow(supply, members, quota)
+        sent = [sum(f.values()) for f in flow]
+        assert all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quota))
+        assert all(set(f) <= set(m) for f, m in zip(flow, members, strict=True))
+        assert sum(sent) == size
+        assert sum(sum(min(k, x // w) for k in [0]) + sum(max(0, min(x - k * w, w)) * k for k in range(3)) for x, w in zip(sent, supply, strict=True)) == sum(costs)
+
+
+def test_flow_over_many_patterns():
+    import time
+
+    r, n = random.Random(3), 20_000
+    supply = [r.randint(1, 1000) for _ in range(n)]
+    members = [sorted({r.randrange(n // 4), r.randrange(n // 4), r.randrange(n // 4)}) for _ in range(n)]
+    quota = [r.randint(0, 6000) for _ in range(n // 4)]
+    began = time.time()
+    flow = mixing.min_cost_flow(supply, members, quota)
+    assert time.time() - began < 120 and all(sum(f.values()) <= 3 * w for f, w in zip(flow, supply, strict=True))
+
+
+def test_mixing_of_rows_that_share_an_identifier(spark):
+    for ids in ([None] * 600, [7] * 600):
+        rows = [(i, "ten words " * 5, "en", "a") for i in ids] + [(1000 + k, "w " * 20, "en", "b") for k in range(100)]
+        got = mixing.mix_report(frame(spark, rows).repartition(5, "doc_id")).collect()
+        assert len(got) == 700
+        own = [r for r in got if r.source == "a"]
+        assert len({r.taken for r in own}) == 2 and abs(sum(r.taken for r in own) - own[0].target) <= 10
+        assert abs(sum(r.taken for r in got) - 8000) <= 30
+
+
+def test_mixing_of_many_sources(spark):
+    rows = spark.range(30_000).selectExpr("id as doc_id", "1 + id % 7 as words", "array('s' || pmod(hash(id), 25000), 's' || id % 5) as sources")
+    got, sources = mixing.mixed(rows, F.col("words"), F.col("sources"))
+    assert len(sources) > 15_000 and got.count() == 30_000 and got.agg(F.max("repeats")).first()[0] <= 3
+
+
 def test_overlapping_sources(spark):
     rows = spark.createDataFrame([(i, 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None]) for i in range(300)], "doc_id long, words long, sources array<string>")
     got, sources = mixing.mixed(rows, F.col("words"), F.col("sources"))
