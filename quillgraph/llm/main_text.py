@@ -20,6 +20,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
+# Names of elements and the rules of their nesting, as HTML has them.
 #: Elements of which the content is no text, or no markup.
 SKIPPED = frozenset("script style noscript template svg iframe object canvas head title select option datalist button textarea input audio video map".split())
 RAW = frozenset("script style textarea title".split())
@@ -54,8 +56,8 @@ SIBLINGS = {
 GOOD = "article main content post entry story body text blog page hentry".split()
 BAD = "nav menu header footer foot sidebar side aside widget comment reply respond ad ads advert sponsor promo banner cookie consent notice notif popup modal overlay subscribe newsletter signup login share social related recommend breadcrumb pagination pager toolbar copyright legal disclaimer form search tag meta byline author alert".split()
 TAGS = "p h1 h2 h3 h4 div section article main nav header footer aside form ul ol li dl table tr td blockquote pre figure figcaption span a details address".split()
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|$)", re.S)  # a quote counts after = alone
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -445,7 +447,7 @@ class _Generator:
             parts.append(self.block())
             if r.random() < 0.08:
                 parts.append(self.chrome())
-        wrap = r.randrange(6)
+        wrap = r.randrange(7)
         body = "".join(parts)
         if wrap == 0:
             body = f"<article data-c{self.attr('post', 'entry', 'story')}>{body}</article>"
@@ -457,8 +459,9 @@ class _Generator:
             body = f"<div data-c{self.neutral()}><div data-c{self.neutral()}>{body}</div></div>"
         elif wrap == 4:
             body = f"<main data-c>{body}</main>"
-        else:
+        elif wrap == 5:
             body = f'<article data-c><div data-c class="{r.choice(["content", "body", "inner"])}">{body}</div></article>'
+        # else nothing around it
         before, after = [self.chrome() for _ in range(r.randint(0, 5))], [self.chrome() for _ in range(r.randint(0, 5))]
         if r.random() < 0.5:
             before.insert(0, f"<header{self.attr('header', 'masthead')}><div>{self.words(1, 3)}</div>{self.links(r.randint(0, 5))}</header>")
@@ -489,6 +492,12 @@ def trained(pages: int = 700, seed: int = 11, **options) -> Boosted:
     return Boosted(**options).fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
+@cache
+def default_model() -> Boosted:
+    """The model of this process, fitted once."""
+    return trained()
+
+
 # ------------------------------------------------------------------ decoding
 
 
@@ -567,7 +576,11 @@ def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
     nodes = [elements(r) for r in roots]
     score, at, out = model.score(features(nodes)) if pages else None, 0, []
     for root, own in zip(roots, nodes, strict=True):
-        out.append("\n\n".join(blocks_of(root, decoded(own, score[at : at + len(own)]))))
+        if any(x.tag in BLOCKS for x in own):
+            label = decoded(own, score[at : at + len(own)])
+        else:  # text with no block around it is the article
+            label = [True] * len(own)
+        out.append("\n\n".join(blocks_of(root, label)))
         at += len(own)
     return out
 
@@ -575,11 +588,12 @@ def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
 def extracted(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """One row a page: page_id, url, text, n_chars.
 
-    Null and empty pages give an empty text; repeated rows equal rows; an empty
-    table no rows; other columns are ignored.  The model (some hundred kB,
-    whatever the number of pages) travels with the function.
+    Null and empty pages give an empty text; text without any block element, such
+    as plain text, is the article; pages may be of any length; repeated rows give
+    equal rows; an empty table no rows; other columns are ignored.  The model
+    (some hundred kB, whatever the number of pages) travels with the function.
     """
-    model = model or trained()
+    model = model or default_model()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

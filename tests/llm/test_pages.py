@@ -186,6 +186,49 @@ def test_main_text(spark, model):
     assert main_text.extracted(pages(spark, []), model).count() == 0
 
 
+#: Pages written by hand in the manner of common systems, not by the generator; the article's blocks have [[ ]] around them.
+BY_HAND = [
+    """<!doctype html><html lang="en"><head><title>Blog</title><link rel=stylesheet href=a.css></head><body class="home blog"><div id="page"><header id="masthead" class="site-header"><p class="site-title"><a href="/">My blog</a></p>
+    <nav id="site-navigation"><div class="menu-main-container"><ul id="menu-main"><li class="menu-item"><a href="/">Home</a></li><li class="menu-item"><a href="/about">About</a></li></ul></div></nav></header>
+    <div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-1" class="post-1 post type-post hentry"><h1 class="entry-title">[[A walk along the canal]]</h1>
+    <div class="entry-content"><p>[[Last week I went out early and followed the canal from the lock to the mill, which took about two hours.]]</p><p>[[The path was wet, but the herons did not mind.]]</p><blockquote><p>[[Take the old path, said the keeper, and mind the dog.]]</p></blockquote>
+    <ul><li>[[Bring boots with good soles.]]</li><li>[[Leave before eight in the morning.]]</li></ul></div></article><div id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li class="comment"><p>I love that place, thank you for sharing this walk with us.</p></li></ol></div></main></div>
+    <aside id="secondary" class="widget-area"><section class="widget widget_search"><form class="search-form"><label>Search for: <input></label></form></section><section class="widget"><h2>Recent posts</h2><ul><li><a href="/1">Bread</a></li></ul></section></aside></div>
+    <footer id="colophon" class="site-footer"><div class="site-info">Proudly made by hand.</div></footer></div></body></html>""",
+    """<html><head><title>News</title></head><body><div class="cookie-banner">We use cookies to improve this site. <button>Accept</button></div><div class="topbar"><a href="/">Politics</a> <a href="/">Sport</a> <a href="/">Culture</a></div>
+    <div class="layout"><div class="story-body"><h1>[[Council votes to rebuild the pier]]</h1><p>[[The town council voted on Tuesday night to rebuild the pier, which a storm had damaged in the winter.]]</p>
+    <div class="advert">Advertisement: buy two lamps and pay for one of them today.</div><p>[[Work is to begin in May and will cost four million, the mayor said after the meeting.]]</p>
+    <figure><img src=p.jpg><figcaption>[[The pier after the storm in January.]]</figcaption></figure><p>[[Shops on the front welcomed the news.]]</p></div>
+    <div class="related-stories"><h3>More on this</h3><ul><li><a href="/2">Storm closes three roads</a></li><li><a href="/3">How the pier was built</a></li></ul></div></div><div class="footer">Copyright the paper. All rights reserved.</div></body></html>""",
+    """<body><div class="navbar"><a href="index">index</a> | <a href="next">next</a></div><div class="document"><div class="section" id="usage"><h2>[[Usage]]</h2><p>[[Call the function with a path; it returns the number of lines it has read.]]</p><pre>[[count("a.txt")]]</pre>
+    <table><tr><td>[[path]]</td><td>[[where the file is]]</td></tr><tr><td>[[limit]]</td><td>[[lines to read, all if left out]]</td></tr></table></div></div><div class="sidebar"><h3>Contents</h3><ul><li><a href="#usage">Usage</a></li></ul></div></body>""",
+]
+
+
+def test_pages_written_by_hand():
+    model, tp, fp, fn = main_text.default_model(), 0, 0, 0
+    for page in BY_HAND:
+        want = re.findall(r"\[\[(.*?)\]\]", page)
+        got = main_text.main_texts([page.replace("[[", "").replace("]]", "")], model)[0].split("\n\n")
+        tp, fp, fn = tp + len(set(want) & set(got)), fp + len(set(got) - set(want)), fn + len(set(want) - set(got))
+    assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.9
+
+
+def test_stray_quotes_and_untagged_text():
+    model = main_text.default_model()
+    words = "first words of a paragraph that goes on for a while"
+    for page, want in [
+        (f"<article><p title=it's>{words}.</p><p>it's the second</p></article>", f"{words}.\n\nit's the second"),
+        (f"<article><p title=\"a>b\" data-x='c\"d>e'>{words}</p></article>", words),
+        (f'<article><p title="never closed>{words}</p></article>', words),
+        (f'<article><p"">{words}</p></article>', words),
+        (f"{words}\n and &amp; more", f"{words} and & more"),
+        (f"{words} <b>bold</b> <!-- no --><script>x</script>end", f"{words} bold end"),
+        (f"<p>{words}.</p><p>{words} once more.</p>", f"{words}.\n\n{words} once more."),
+    ]:
+        assert main_text.main_texts([page], model) == [want]
+
+
 def test_held_out_blocks(model):
     make, tp, fp, fn = main_text._Generator(123), 0, 0, 0
     for _ in range(60):
