@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, dropped, slices, utf8, written
@@ -44,6 +44,8 @@ SKETCH_BITS = 40
 #: ones the same pairs are, by way of shingles and blocks.
 FEW = 48
 BLOCK = 256
+#: Counters of shingles, a power of two; 4 MB are sent to each executor.
+COUNTERS = 1 << 20
 
 _TABLES: list[np.ndarray] = []
 
@@ -90,7 +92,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(*utf8(part.column(1)), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
@@ -143,25 +145,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(out, "confirmed")
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists in one array, and n + 1 offsets."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
 def by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) among members of large bands, and members of large
     groups in the columns of ``left``, which are to be compared in blocks.
 
-    With shingles in the order of how many members have them, two sets of n and
-    more shingles that are similar enough share one of the first n - ceil(percent
-    * n / 100) + 1 of each.  Each shingle of a member is a row three times, so
-    what is shuffled grows with the members' texts and not with their pairs.
+    With shingles in any one order, two sets of n and more shingles that are
+    similar enough share one of the first n - ceil(percent * n / 100) + 1 of each.
+    The order is by how many members have a shingle, as ``COUNTERS`` counters
+    tell that shingles share by hash (the only thing that is sent to all tasks);
+    so a prefix holds the rarest ones, and what is shuffled are a fifth of the
+    members' shingles at most, not their pairs.
     """
     members = left.select("id", "component", "n", "s1", "s2").distinct()
-    # an identifier with several texts has several sets
-    rows = members.select("id").distinct().join(sets.select("id", F.col("n").cast("long").alias("size"), F.xxhash64("shingles").alias("key"), F.explode("shingles").alias("t")), "id")
-    count = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = rows.join(count, "t")
-    mine = Window.partitionBy("id", "key")
-    common = common.select("id", "size", "t", F.row_number().over(mine.orderBy("df", "t")).alias("r"), F.count(F.lit(1)).over(mine).alias("k"))
-    # shingles that nobody else has come first and take up places of the prefix
-    first = common.join(members, "id").where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("k"))).select("t", *members.columns)
-    first = written(first, "prefixes")
+    rows = written(sets.join(members.select("id").distinct(), "id").select("id", "shingles"), "large-sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat, _ = _flat(batch.column(1))
+            total += np.bincount((mix(flat) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+    got = rows.mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[got["counter"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
+    sent = left.sparkSession.sparkContext.broadcast(counts)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = _flat(batch.column(1))
+            n = np.diff(at)
+            row = np.repeat(np.arange(len(n)), n)
+            df = sent.value[(mix(flat) & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            order = np.lexsort((flat, df, row))
+            place = np.arange(len(flat)) - at[:-1][row]  # rows stay together
+            keep = order[place < (n - (n * percent + 99) // 100 + 1)[row]]
+            keep = keep[df[keep] > 1]  # a counter of one is a shingle that nobody shares
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), batch.column(0).take(pa.array(row[keep]))], names=["t", "id"])
+
+    first = written(rows.mapInArrow(take, "t long, id long").distinct().join(members, "id"), "prefixes")
     sizes = written(first.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1 and lo <> hi").select("t", "m"), "prefix-sizes")
     first = written(first.join(sizes, "t"), "shared-prefixes")
     x, y = first.where(F.col("m") <= FEW).alias("x"), first.where(F.col("m") <= FEW).alias("y")

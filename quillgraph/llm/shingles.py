@@ -2,8 +2,8 @@
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased.  A
 word's hash is a polynomial over random 64-bit values of its bytes, taken from
-one running sum over the whole buffer, so the cost is a few vector operations a
-byte whatever the number of texts.
+one running sum over a piece of the buffer, so the cost is a few vector operations
+a byte whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: Bytes whose running sum is held at once; a longer word is taken whole.
+PIECE = 1 << 20
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and for each text the index of its first word (n + 1 entries)."""
     n = len(buf)
@@ -55,11 +59,21 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _powers(n + 1)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(_VALUE[buf] * up[:n], out=run[1:])
-    words = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # words that end within a piece from the first one's start
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+        part = buf[base : ends[j - 1]]
+        up, down = _powers(len(part) + 1)
+        run = np.empty(len(part) + 1, np.uint64)
+        run[0] = 0
+        np.cumsum(_VALUE[part] * up[: len(part)], out=run[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        words[i:j] = mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    if len(_POWERS[0]) > 4 * PIECE:  # after a very long word
+        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     return words, np.searchsorted(starts, offsets)
 
 
