@@ -3,7 +3,7 @@
 Documents are range-partitioned by identifier, encoded and written as one
 immutable table a partition.  Layout of a table, integers little-endian::
 
-    data block *     zlib-compressed entries, each
+    data block *     zstd-compressed entries, each
                        varint shared   bytes of the key shared with the entry before
                        varint rest     further bytes of the key
                        varint size     bytes of the value
@@ -23,25 +23,28 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import batched, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_file, put_file, written
+from .shared import new_path, open_file, put_file, slices, written
 
-MAGIC = b"QSSTABL1"
+MAGIC = b"QSSTABL2"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY = 10
 N_HASHES = 7
-#: Words whose ids a Python worker remembers at most; then it starts anew.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a Python worker remembers at most; then it keeps the half that it
+#: met first, among them nearly all frequent ones.
+CACHE_WORDS = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -83,6 +86,7 @@ class TableWriter:
 
     def __init__(self, id_bytes: int):
         self.id_bytes, self.entries, self.ids, self.at = id_bytes, 0, 0, 0
+        self.pack = zstandard.ZstdCompressor(level=1)
         self.index: list[tuple[bytes, int, int, int]] = []
         self.keys: list[bytes] = []
 
@@ -117,7 +121,7 @@ class TableWriter:
         yield FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.entries, self.ids, N_HASHES, self.id_bytes, MAGIC)
 
     def _block(self, block: bytearray, last: bytes, n: int) -> bytes:
-        stored = zlib.compress(bytes(block), 1)
+        stored = self.pack.compress(bytes(block))
         self.index.append((last, self.at, len(stored), n))
         self.at += len(stored)
         return stored
@@ -128,6 +132,7 @@ class TableReader:
 
     def __init__(self, uri: str):
         self.file = open_file(uri)
+        self.unpack = zstandard.ZstdDecompressor()
         self.file.seek(0, 2)
         self.file.seek(self.file.tell() - FOOTER.size)
         b_at, b_size, i_at, i_size, self.entries, self.ids, self.n_hashes, self.id_bytes, magic = FOOTER.unpack(self.file.read(FOOTER.size))
@@ -150,7 +155,7 @@ class TableReader:
     def _entries(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         _, offset, size, n = self.index[i]
         self.file.seek(offset)
-        raw, at, key = zlib.decompress(self.file.read(size)), 0, b""
+        raw, at, key = self.unpack.decompress(self.file.read(size)), 0, b""
         for _ in range(n):
             shared, at = _read_varint(raw, at)
             rest, at = _read_varint(raw, at)
@@ -186,81 +191,119 @@ class Encoder:
     """``Tokenizer.encode`` of whole texts, with the ids of words remembered.
 
     The byte-level pre-tokenizer always breaks before a single space that
-    stands between two other characters, so the pieces between such spaces can
-    be encoded one by one, each distinct one once.  Texts that hold an added
-    token, such as the end of a text, are encoded whole.
+    stands between two other characters, on both sides of a single line feed
+    between such, and between letters and whatever else: so the pieces between
+    them can be encoded one by one, each distinct one once.  Texts that hold an
+    added token, such as the end of a text, are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # does not look for added tokens, for texts that hold none
+        self.plain.encode_special_tokens = True
         pre = self.tok.pre_tokenizer
         self.by_word = self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
         self.id_bytes = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.id_bytes == 2 else "<u4")
+        #: Ids of pieces, and of the single characters that end them.
         self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
+        if self.by_word:
+            self.letters = Tokenizer.from_file(path)  # for words of letters alone, which need no pattern
+            self.letters.encode_special_tokens = True
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.after_space = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.after_space[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+        self.line_feeds = np.zeros(len(self.after_space), bool)
+        self.line_feeds[[i for w, i in vocab.items() if w == "\u010a"]] = True  # and a line feed
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of the text; a single space stood before each but the first."""
-        parts = text.split(" ")
-        if "" not in parts and list(map(str.strip, parts)) == parts:
-            return parts
-        return _SINGLE.split(text)
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Remembers the ids of words as they are after a space.
+    def _learn(self, tokenizer, words: list[str], starts: np.ndarray, glue: str) -> None:
+        """Remembers the ids of words that hold no white space but their line feed.
 
-        Many are encoded at once as one text and cut before each id of which
-        the token starts with a space: a word has no other space.
+        Many are encoded at once as one text and cut at the tokens that start a
+        word: with a space, or with the line feed.
         """
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
-            text = " " + " ".join(part)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self.after_space[ids]) * self.id_bytes
+            ids = np.array(tokenizer.encode_batch_fast([glue + glue.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(starts[ids])
             if len(cuts) == len(part):
-                raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids) * self.id_bytes]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts.tolist(), ends, strict=True))
+                raw, ends = ids.tobytes(), [*(cuts * self.id_bytes).tolist(), len(ids) * self.id_bytes]
+                self.known.update(zip(part, [raw[a:b] for a, b in pairwise(ends)], strict=True))
             else:
-                enc = self.tok.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, enc, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+                self.known.update(zip(part, self._ids(self.plain, [glue + w for w in part]), strict=True))
+
+    def learn(self, new: set[str]) -> None:
+        """Remembers the ids of pieces as they are in a text."""
+        known, bare = self.known, self.bare
+        letters = [w for w in new if w.isalpha()]
+        first, lines, ended, others = [], [], [], []
+        for w in new.difference(letters):
+            if w[0] == FIRST:
+                first.append(w)
+            elif w[0] == "\n":
+                lines.append(w)
+            elif w[:-1].isalpha():
+                ended.append(w)
+            else:
+                others.append(w)
+        stems = {w[:-1] for w in ended}.difference(known, letters)
+        self._learn(self.letters, letters + list(stems), self.after_space, " ")
+        self._learn(self.plain, others, self.after_space, " ")
+        self._learn(self.plain, lines, self.line_feeds, "")
+        known.update(zip(first, self._ids(self.plain, [w[1:] for w in first]), strict=True))
+        ends = list({w[-1] for w in ended}.difference(bare))
+        bare.update(zip(ends, self._ids(self.plain, ends), strict=True))
+        known.update((w, known[w[:-1]] + bare[w[-1]]) for w in ended)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        whole = [i for i, t in enumerate(texts) if not self.by_word or any(x in t for x in self.added)]
-        if whole:
-            out = dict(zip(whole, (np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)), strict=True))
-            others = [i for i in range(len(texts)) if i not in out]
-            out.update(zip(others, self.encode([texts[i] for i in others]) if others else [], strict=True))
-            return [out[i] for i in range(len(texts))]
-        first, rest = [], []
-        for t in texts:
-            p = self.pieces(t)
-            first.append(p[0])
-            rest.append(p[1:])
-        words = set().union(*rest)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        spaced = [w for w in new if " " in w or w != w.strip() or not w]
-        self.learn(list(new.difference(spaced)) if spaced else list(new))
-        if spaced:
-            enc = self.tok.encode_batch_fast([" " + w for w in spaced], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(spaced, enc, strict=True))
-        known = self.known
-        heads = self.tok.encode_batch_fast(first, add_special_tokens=False)
-        return [np.array(h.ids, self.dtype).tobytes() + b"".join([known[w] for w in r]) for h, r in zip(heads, rest, strict=True)]
-
-
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD) if self.by_word else pa.array([True] * len(texts), pa.bool_())
+        for x in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(odd.tolist(), self._ids(self.tok, texts.take(pa.array(odd)).to_pylist()), strict=True):
+            out[i] = ids
+        rest = np.setdiff1d(np.arange(len(texts)), odd)
+        if not len(rest):
+            return out
+        mark, none = (pa.scalar(x, pa.large_string()) for x in (FIRST, ""))
+        some = pc.binary_join_element_wise(mark, texts.take(pa.array(rest)), none)
+        parts = pc.split_pattern(pc.replace_substring(some, "\n", " \n"), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        new = {w for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+            self.learn(new)
+            known = self.known
+            ids = [known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        flat = pa.array(ids, pa.large_binary()).take(coded.indices)
+        _, ends, data = flat.buffers()
+        ends = np.frombuffer(ends, np.int64, len(flat) + 1, flat.offset * 8)[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data is not None else b""
+        for i, a, b in zip(rest.tolist(), ends[:-1], ends[1:], strict=True):
+            out[i] = bytes(data[a:b])
+        return out
+
+
+#: Stands before the first piece of a text, before which no space stood.
+FIRST = "\x01"
+_OTHERS = r"\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts with white space other than single spaces and line feeds between other
+#: characters, or with the mark above, are encoded whole.
+ODD = rf"[{_OTHERS} \n][{_OTHERS} \n]|^[ \n]|[ \n]$|[{_OTHERS}]|\x01"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -300,9 +343,8 @@ def write_tables(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc_id
 
         def items() -> Iterator[tuple[bytes, bytes]]:
             for b in batches:
-                for i in range(0, b.num_rows, 500):
-                    part = b.slice(i, 500)
-                    for k, v in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+                for part in slices(b, "t", 8 << 20):
+                    for k, v in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                         count[0] += 1
                         yield key_of(k), v + end
 
@@ -338,15 +380,14 @@ def read_tables(tables: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                at, out, t = row["start"], [], TableReader(row["uri"])
-                for doc_id, ids in t.scan():
-                    out.append({"doc_id": doc_id, "start": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())})
-                    at += len(ids)
-                    if len(out) == 5000:
-                        yield pa.RecordBatch.from_pylist(out, schema=_DIGEST)
-                        out = []
+                at, t = row["start"], TableReader(row["uri"])
+                for some in batched(t.scan(), 5000):
+                    n = np.array([len(ids) for _, ids in some], np.int64)
+                    start = at + np.cumsum(n) - n
+                    at += int(n.sum())
+                    crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], schema=_DIGEST)
                 t.close()
-                yield pa.RecordBatch.from_pylist(out, schema=_DIGEST)
 
     spread = starts(tables).repartition(max(n, 4 * n), "uri")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
