@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, length: int = LENGTH, train_docs: int = TRAIN_DOCS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 for lang, run in zip(part.column(0).to_pylist(), ngram_runs(part.column(1)), strict=True):
                     total.setdefault(lang, []).append(run)
                 for lang, runs in total.items():
@@ -149,7 +149,7 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", names
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 got = [profiles.closest(ranked(*run, profiles.length)) for run in ngram_runs(part.column(place))]
                 more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, *new])

@@ -18,7 +18,7 @@ N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
 #: Rows of a bucket that are numbered in one task, about, as long as the buckets
 #: have at most 16^PART_DIGITS parts each; then the parts grow.
-ROWS_A_TASK = 50_000
+ROWS_A_TASK = 4_096
 PART_DIGITS = 3
 
 

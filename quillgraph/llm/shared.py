@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a row group, which a writer holds in memory.
+GROUP_BYTES = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
@@ -40,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
