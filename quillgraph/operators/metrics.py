@@ -7,10 +7,12 @@ are one shuffle on the node.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import checkpointed
+from .rounds import checkpointed, dropped
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -91,22 +93,32 @@ def structure(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(F.broadcast(mixing)).withColumn("density", density)  # one row
 
 
-def _converge(start: DataFrame, step, rounds: int, tolerance: float) -> tuple[DataFrame, bool]:
-    """Applies ``step`` to (node, value) until the sum of changes is below the tolerance."""
-    now = checkpointed(start)
-    for _ in range(rounds):
-        new = checkpointed(step(now))
-        if tolerance > 0:
-            off = new.join(now.withColumnRenamed("value", "was"), "node").agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0]
+def _converge(start: DataFrame, step, rounds: int, tolerance: float, stride: int = 5) -> tuple[DataFrame, bool]:
+    """Applies ``step`` to (node, value) until the sum of changes in one round is
+    below the tolerance, or as often as told if that is 0.  ``stride`` rounds are
+    one job, whose last two states are written."""
+    now, done = checkpointed(start), 0
+    while done < rounds:
+        n = min(stride, rounds - done)
+        before = new = now.select("node", "value")
+        for _ in range(n):
+            before, new = new, step(new)
+        done += n
+        if tolerance <= 0:
+            new = checkpointed(new)
+        else:
+            new = checkpointed(new.join(before.select("node", F.col("value").alias("was")), "node"))
+            off = new.agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0]
             if off is None or off < tolerance:
-                return new, True
+                return new.select("node", "value"), True
+        dropped(now)
         now = new
-    return now, tolerance <= 0
+    return now.select("node", "value"), tolerance <= 0
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """node, value: PageRank of the undirected graph; sums to 1."""
-    d = degrees(edges)
+    d = checkpointed(degrees(edges))
     n = d.count()
     if not n:
         return d.select("node", F.lit(0.0).alias("value"))
@@ -122,16 +134,35 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
 def eigenvector(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """node, value: the leading eigenvector, of length 1 and positive.  Each round
     adds the vector itself, so that it converges on two-coloured graphs too."""
-    w, d = checkpointed(both_ways(edges)), degrees(edges)
+    d = checkpointed(degrees(edges))
+    # a node's own row carries its value on, so a round is one join and one sum
+    w = checkpointed(both_ways(edges).unionByName(d.select(F.col("node").alias("a"), F.col("node").alias("b"))))
 
-    def step(now: DataFrame) -> DataFrame:
-        got = w.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("value").alias("s"))
-        new = now.join(got, F.col("node") == F.col("a")).select("node", (F.col("value") + F.col("s")).alias("value"))
+    def unit(new: DataFrame) -> DataFrame:
         norm = new.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
         return new.crossJoin(F.broadcast(norm)).select("node", (F.col("value") / F.col("norm")).alias("value"))  # one row
 
-    n = max(1, d.count())
-    return _converge(d.select("node", F.lit(n**-0.5).alias("value")), step, rounds, tolerance)[0]
+    def step(now: DataFrame) -> DataFrame:
+        return w.join(now, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum("value").alias("value"))
+
+    now, done, stride = checkpointed(d.select("node", F.lit(max(1, d.count()) ** -0.5).alias("value"))), 0, 5
+    while done < rounds:
+        n = min(stride, rounds - done)
+        before = new = now.select("node", "value")
+        for _ in range(n):
+            before, new = new, step(new)
+        done += n
+        # lengths are only taken once a job: they cancel out
+        both = checkpointed(new.join(before.select("node", F.col("value").alias("was")), "node"))
+        out = checkpointed(unit(both.select("node", "value")))
+        if tolerance > 0:
+            was = unit(both.select("node", F.col("was").alias("value"))).withColumnRenamed("value", "was")
+            off = out.join(was, "node").agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0]
+        dropped(now, both)
+        now = out
+        if tolerance > 0 and (off is None or off < tolerance):
+            break
+    return now
 
 
 def katz(edges: DataFrame, alpha: float = 1e-4, beta: float = 1.0, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -163,8 +194,9 @@ def wcc(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(way("v", "m"), way("u", "m"))).alias("w")).select("w.*").where("u <> v").distinct()
-        e = checkpointed(small)
+        was, e = e, checkpointed(small)
         now = mark(e)
+        dropped(was)
         if now == seen:
             break
         seen = now
@@ -203,27 +235,42 @@ def link_scores(edges: DataFrame, method: str = "jaccard") -> DataFrame:
 def preferential_top(edges: DataFrame, n: int) -> DataFrame:
     """The n unlinked pairs with the largest products of degrees; ties by lo, hi.
 
-    A node's k-th best partner cannot be in the answer if n better pairs exist:
-    nodes by falling degree have at most n + (edges of the top) useful partners.
-    The ``reach`` nodes of highest degree are enough once they hold n unlinked
-    pairs of which the least product is above what any node beyond could give.
+    Pairs are sought class by class: of the pairs of distinct degrees, in falling
+    order of their product, only as many are needed as hold n unlinked pairs, and
+    how many a pair of degrees holds is known from counts.  Of the nodes of one
+    degree only the first by name can be in the answer: at most n and those that
+    the linked pairs of the classes use up.
     """
-    d = degrees(edges).orderBy(F.desc("d"), "node")
-    reach = 64
-    while True:
-        top = d.limit(reach + 1).collect()  # at most reach + 1 rows
-        names = top[:reach]
-        spark = edges.sparkSession
-        few = spark.createDataFrame([(r.node, r.d) for r in names], "node long, d long") if names else d.limit(0)
-        a, b = F.broadcast(few.alias("a")), few.alias("b")
-        pairs = b.join(a, F.col("a.node") < F.col("b.node")).select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi"), (F.col("a.d") * F.col("b.d")).cast("double").alias("score"))
-        free = pairs.join(edges.select(F.col("src").alias("lo"), F.col("dst").alias("hi")), ["lo", "hi"], "left_anti").orderBy(F.desc("score"), "lo", "hi").limit(n)
-        if len(top) <= reach:
-            return free
-        best = free.collect()  # at most n rows
-        if len(best) == n and best[-1].score > top[0].d * top[reach].d:
-            return free
-        reach *= 2
+    spark = edges.sparkSession
+    d = checkpointed(degrees(edges))
+    sizes = {r.d: r.n for r in d.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a distinct degree: at most sqrt(2 edges)
+    of = edges.join(d.select(F.col("node").alias("src"), F.col("d").alias("x")), "src").join(d.select(F.col("node").alias("dst"), F.col("d").alias("y")), "dst")
+    linked = {(r.x, r.y): r.n for r in of.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes, seen, values = [], 0, sorted(sizes, reverse=True)
+    heap = [(-x * x, i, i) for i, x in enumerate(values)]
+    heapq.heapify(heap)
+    last = None
+    while heap:
+        product, i, j = heapq.heappop(heap)
+        if seen >= n and product != last:
+            break
+        x, y = values[i], values[j]
+        free = (sizes[x] * (sizes[x] - 1) // 2 if i == j else sizes[x] * sizes[y]) - linked.get((x, y), 0)
+        if free:
+            classes.append((x, y))
+            seen, last = seen + free, product
+        if j + 1 < len(values):
+            heapq.heappush(heap, (-x * values[j + 1], i, j + 1))
+    if not classes:
+        return d.select(F.col("node").alias("lo"), F.col("node").alias("hi"), F.lit(0.0).alias("score")).limit(0)
+    # of a class of equal nodes the first n by name, and one more for each linked pair of its classes
+    most = {v: min(sizes[v], n + 1 + sum(linked.get(c, 0) for c in classes if v in c)) for v in {v for c in classes for v in c}}
+    few = d.join(F.broadcast(spark.createDataFrame(list(most.items()), "d long, most long")), "d")
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("node"))).where("r <= most").select("node", "d")
+    wanted = spark.createDataFrame(classes, "x long, y long")
+    pairs = few.select(F.col("node").alias("p"), F.col("d").alias("x")).join(wanted, "x").join(few.select(F.col("node").alias("q"), F.col("d").alias("y")), "y").where("p <> q and (x <> y or p < q)")
+    pairs = pairs.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("x") * F.col("y")).cast("double").alias("score"))
+    return pairs.join(edges.select(F.col("src").alias("lo"), F.col("dst").alias("hi")), ["lo", "hi"], "left_anti").orderBy(F.desc("score"), "lo", "hi").limit(n)
 
 
 def candidates(scores: DataFrame) -> DataFrame:

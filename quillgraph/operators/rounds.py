@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as checkpoint files in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Lineage ends here, and a lost executor costs a re-read.  Where the session
-    names no folder (tests on one machine) a temporary one is set.
+    Where the session names none (tests on one machine) a temporary one is set;
+    on a cluster that is an error.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local["):
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quillgraph-"))
-    return df.checkpoint(eager=True)
+        at = tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read back.
+
+    Lineage ends here, and a lost executor costs a re-read.  The planner knows
+    the size of what it reads, so joins with small tables need no shuffle.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rounds_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the files of :func:`checkpointed` tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_rounds_path", None)) is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,6 +12,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staged import staged
+
+#: The tables that the model is derived from.
+SOURCES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
 URGENT = "1-URGENT"
 YEAR = 1995
 PAIR_TYPES = ("acquired", "jv_with", "competes_with", "same_group", "subsidiary_of", "customer_of")
@@ -32,8 +36,27 @@ class Model:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     @cached_property
+    def built(self) -> dict[str, DataFrame]:
+        """Entities, edges (files apart by type) and the part graph, written once for all queries."""
+        tables = {"entity": self._entities, "edge": self._edges, "part_edge": self._part_graph}
+        return staged(self.spark, self.root, SOURCES, tables, {"edge": "edge_type"})
+
+    @property
     def entities(self) -> DataFrame:
         """name, kind, sector, market_cap, ticker."""
+        return self.built["entity"]
+
+    @property
+    def edges(self) -> DataFrame:
+        """source, target, edge_type, weight, valid_from, valid_to, properties."""
+        return self.built["edge"]
+
+    @property
+    def part_graph(self) -> DataFrame:
+        """Parts met in the same urgent order, as undirected edges (src < dst)."""
+        return self.built["part_edge"]
+
+    def _entities(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_name")
         supplier = self.table("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
         customer = self.table("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -68,9 +91,7 @@ class Model:
         both = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.l_suppkey") < F.col("y.l_suppkey")))
         return both.groupBy(F.col("x.l_suppkey").alias("a"), F.col("y.l_suppkey").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("x.day").alias("first"), F.max("x.day").alias("last"))
 
-    @cached_property
-    def edges(self) -> DataFrame:
-        """source, target, edge_type, weight, valid_from, valid_to, properties."""
+    def _edges(self) -> DataFrame:
         nothing, day = F.lit(None).cast("string"), F.lit(None).cast("date")
 
         def rows(df: DataFrame, source: str, target: str, kind: Column | str, weight: Column | None = None, start: Column | None = None, end: Column | None = None, props: Column | None = None) -> DataFrame:
@@ -80,7 +101,7 @@ class Model:
         nation, region, supplier = self.table("nation"), self.table("region"), self.table("supplier").select("s_suppkey", "s_name")
         up = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
         one = lambda a, b, t: F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(t).alias("t"))
-        of = self.companies.select(F.explode(F.array(one("name", "sector", "part_of"), one("sector", "name", "has_company"))).alias("e")).select("e.*")
+        of = self._entities().where("kind = 'company'").select(F.explode(F.array(one("name", "sector", "part_of"), one("sector", "name", "has_company"))).alias("e")).select("e.*")
         exposed = self.table("lineitem").where("l_quantity >= 45").select("l_suppkey", "l_partkey")
         exposed = exposed.join(self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).cast("double").alias("n")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         supplied = self.urgent_lines.groupBy("l_suppkey", "o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("day").alias("first"))
@@ -111,9 +132,7 @@ class Model:
         both = F.explode(F.array(way("source", "target"), way("target", "source")))
         return self.edges.select(both.alias("w"), "edge_type", "weight", "valid_from", "valid_to", "properties").select("w.*", "edge_type", "weight", "valid_from", "valid_to", "properties")
 
-    @cached_property
-    def part_graph(self) -> DataFrame:
-        """Parts met in the same urgent order, as undirected edges (src < dst)."""
+    def _part_graph(self) -> DataFrame:
         seen = self.urgent_lines.select("l_orderkey", "l_partkey").distinct()
         x, y = seen.alias("x"), seen.alias("y")
         both = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.l_partkey") < F.col("y.l_partkey")))
