@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import content, graph, metrics
+from .queries import content, graph, metrics, notes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (graph, metrics, content):
+for _part in (graph, metrics, content, notes):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

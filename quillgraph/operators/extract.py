@@ -102,7 +102,7 @@ def quotes_of(text: str, least: int = 30) -> list[tuple[str, str | None, str | N
     return out
 
 
-_FIGURE = re.compile(r"(?P<sign>[-+])?(?P<cur>₹|Rs\.?\s?|\$|€|USD\s?|INR\s?)?(?P<num>\d[\d,]*(?:\.\d+)?)(?:\s?(?:-|–|to)\s?(?P<hi>\d[\d,]*(?:\.\d+)?))?\s?(?P<unit>%|bps|crores?|cr|lakhs?|million|mn|billion|bn|x|times|MW|GW|MT)?(?![\w.])", re.I)
+_FIGURE = re.compile(r"(?P<sign>[-+])?(?P<cur>₹|Rs\.?\s?|\$|€|USD\s?|INR\s?)?(?P<num>\d[\d,]*(?:\.\d+)?)(?:\s?(?:-|–|to)\s?(?P<hi>\d[\d,]*(?:\.\d+)?))?\s?(?P<unit>%|bps|crores?|cr|lakhs?|million|mn|billion|bn|x|times|MW|GW|MT)?(?!\w|\.\w)", re.I)
 # Units as written and as given out.
 UNITS = {"crores": "crore", "cr": "crore", "crore": "crore", "lakhs": "lakh", "lakh": "lakh", "mn": "million", "million": "million", "bn": "billion", "billion": "billion", "%": "%", "bps": "bps", "x": "x", "times": "x", "mw": "MW", "gw": "GW", "mt": "MT"}
 LABELS = ("revenue", "margin", "profit", "growth", "ebitda", "capex", "debt", "volume", "capacity", "order book", "market share", "interest", "sales")

@@ -11,6 +11,9 @@ from ..schema import MEMBERSHIP
 from .temporal import valid_at
 
 
+PRIORITY_TYPES = ("subsidiary_of", "acquired", "jv_with", "supplier_to", "customer_of", "same_group", "competes_with", "part_of", "exposed_to", "belongs_to", "has_company", "cited_in", "co_mentioned_in")
+
+
 def _of(edges: DataFrame, *types: str, as_of: str | None = None) -> DataFrame:
     return edges.where(F.col("edge_type").isin(*types) & valid_at(as_of))
 
@@ -40,6 +43,44 @@ def hierarchy(edges: DataFrame) -> DataFrame:
     return _of(edges, "belongs_to").groupBy(F.col("target").alias("super_sector")).agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sectors"), F.countDistinct("source").alias("n"))
 
 
+def sub_sectors(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """sector, sub_sector: what belongs to a sector and is a sub-sector."""
+    subs = entities.where("kind = 'sub_sector'").select(F.col("name").alias("source"))
+    return _of(edges, "belongs_to").join(subs, "source", "left_semi").select(F.col("target").alias("sector"), F.col("source").alias("sub_sector")).distinct()
+
+
+def bundles(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, kind, part, item, n: what a page on a sector, theme, super-sector or
+    sub-sector shows: its members, children and parents, and how its members spread over market caps."""
+    kinds = entities.select(F.col("name").alias("entity"), "kind").where("kind in ('sector', 'theme', 'super_sector', 'sub_sector')")
+    of = lambda t, entity, item, part: _of(edges, t).select(F.col(entity).alias("entity"), F.lit(part).alias("part"), F.col(item).alias("item"))
+    rows = _union([of("has_company", "source", "target", "member"), of("exposed_to", "target", "source", "member"), of("belongs_to", "target", "source", "child"), of("belongs_to", "source", "target", "parent")]).distinct()
+    caps = rows.where("part = 'member'").join(entities.select(F.col("name").alias("item"), "market_cap"), "item", "left")
+    caps = caps.groupBy("entity", F.lit("market_cap").alias("part"), F.coalesce("market_cap", F.lit("unknown")).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    both = rows.withColumn("n", F.lit(1).cast("long")).unionByName(caps)
+    return both.join(kinds, "entity").select("entity", "kind", "part", "item", "n")
+
+
+# What each type of edge says, direction included.
+SEMANTICS = {t: ("symmetric" if t in ("competes_with", "jv_with", "same_group", "co_mentioned_in") else "membership" if t in MEMBERSHIP else "directed") for t in PRIORITY_TYPES}
+
+
+def cloud(edges: DataFrame, entities: DataFrame, types: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (name, kind, degree), edges (source, target, edge_type) and types (edge_type,
+    n, semantics; 'unknown' for types that are not listed) of a drawing."""
+    e = edges.where(F.col("edge_type").isin(types)) if types else edges
+    says = F.create_map(*[F.lit(x) for kv in SEMANTICS.items() for x in kv])
+    counts = e.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).withColumn("semantics", F.coalesce(says[F.col("edge_type")], F.lit("unknown")))
+    return cloud_nodes(edges, entities, types), e.select("source", "target", "edge_type"), counts
+
+
+def path_or_name(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, name of entities (name, file_path) that have the query as their path or name; the first by name."""
+    keys = entities.select("name", F.explode(F.array_compact(F.array("name", "file_path"))).alias("key"))
+    hits = queries.join(keys, F.col("query") == F.col("key")).groupBy("query").agg(F.min("name").alias("name"))
+    return queries.join(hits, "query", "left").select("query", "name")
+
+
 def neighbours(edges: DataFrame, as_of: str | None = None) -> DataFrame:
     """entity, direction, other, label: distinct neighbours at one hop."""
     way = lambda x, d, y: F.struct(F.col(x).alias("entity"), F.lit(d).alias("direction"), F.col(y).alias("other"))
@@ -148,8 +189,8 @@ def expansion(walk: DataFrame, seeds: DataFrame, hops: int = 2, leave_out: tuple
     return seen
 
 
-#: How much a fact of each type matters; less is more.
-PRIORITY = {t: i for i, t in enumerate(("subsidiary_of", "acquired", "jv_with", "supplier_to", "customer_of", "same_group", "competes_with", "part_of", "exposed_to", "belongs_to", "has_company", "cited_in", "co_mentioned_in"))}
+# How much a fact of each type matters; less is more.
+PRIORITY = {t: i for i, t in enumerate(PRIORITY_TYPES)}
 
 
 def top_facts(edges: DataFrame, names: DataFrame, budget: int) -> DataFrame:
@@ -200,7 +241,7 @@ def tags_by_entity(tags: DataFrame) -> DataFrame:
     """entity_name, tags in order, market_cap: the rest of the least market-cap tag."""
     prefix = "market_cap/"
     cap = F.min(F.when(F.col("tag").startswith(prefix), F.col("tag")))
-    return tags.groupBy("entity_name").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"), F.substring(cap, len(prefix) + 1, 100).alias("market_cap"))
+    return tags.groupBy("entity_name").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"), F.substr(cap, F.lit(len(prefix) + 1)).alias("market_cap"))
 
 
 def resolve(entities: DataFrame, queries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,116 @@ def snippet(text: Column, word: str, width: int = 140) -> Column:
 def index_stats(index: DataFrame) -> DataFrame:
     """term, df, cf."""
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+# ------------------------------------------------------------------ stemming
+
+_VOWEL = "aeiou"
+# The endings of the second to fourth steps of the stemmer.
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _consonants(w: str) -> str:
+    """c for each consonant, v for each vowel; y after a consonant is a vowel."""
+    out = ""
+    for ch in w:
+        out += "v" if ch in _VOWEL or ch == "y" and out[-1:] == "c" else "c"
+    return out
+
+
+def _measure(w: str) -> int:
+    """How often consonants follow vowels."""
+    return len(re.findall("v+c", _consonants(w)))
+
+
+def _short(w: str) -> bool:
+    return _consonants(w)[-3:] == "cvc" and w[-1] not in "wxy"
+
+
+def _longest(w: str, endings) -> str:
+    return max((e for e in endings if w.endswith(e)), key=len, default="")
+
+
+def stem(word: str) -> str:
+    """Porter's stem of a lower-case word."""
+    w = word
+    if len(w) < 3 or not w.isascii():
+        return w
+    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(end):
+            w = w[: len(w) - len(end)] + new
+            break
+    if w.endswith("eed"):
+        if _measure(w[:-3]) > 0:
+            w = w[:-1]
+    else:
+        end = _longest(w, ("ed", "ing"))
+        if end and "v" in _consonants(w[: -len(end)]):
+            w = w[: -len(end)]
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif len(w) > 1 and w[-1] == w[-2] and _consonants(w)[-1] == "c" and w[-1] not in "lsz":
+                w = w[:-1]
+            elif _measure(w) == 1 and _short(w):
+                w += "e"
+    if w.endswith("y") and "v" in _consonants(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (_STEP2, _STEP3):
+        end = _longest(w, table)
+        if end and _measure(w[: -len(end)]) > 0:
+            w = w[: -len(end)] + table[end]
+    end = _longest(w, _STEP4)
+    if end and _measure(w[: -len(end)]) > 1 and (end != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(end)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
+        w = w[:-1]
+    if w.endswith("ll") and _measure(w) > 1:
+        w = w[:-1]
+    return w
+
+
+def stemmed(term: Column) -> Column:
+    """Stems of terms; apply it to distinct terms, as :func:`stemmed_postings` does."""
+    return F.pandas_udf(lambda s: s.map(stem), "string")(term)
+
+
+def stemmed_postings(docs: DataFrame) -> DataFrame:
+    """id, term, tf with stems as terms: each distinct term is stemmed once."""
+    plain = postings(docs)
+    stems = plain.select("term").distinct().withColumn("stem", stemmed(F.col("term")))
+    return plain.join(stems, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def search_page(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, doc_type: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """id, doc_type, title, score, total: a page of the documents (id, doc_type, title,
+    text) with all words of the query, the best first, and how many there are.
+
+    Ranks are over all documents; ``doc_type`` keeps one type.  A query without
+    words is an error.
+    """
+    words = re.findall(r"[^\W_]+", query.lower())
+    got = bm25(docs, words, index).join(docs.select("id", "doc_type", "title"), "id")
+    if doc_type is not None:
+        got = got.where(F.col("doc_type") == doc_type)
+    total = got.agg(F.count(F.lit(1)).alias("total"))
+    page = got.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").offset(max(0, offset)).limit(max(0, limit))
+    return page.crossJoin(F.broadcast(total)).select("id", "doc_type", "title", "score", "total")  # one row
+
+
+def snippet_of(text: str, words: list[str], size: int = 12) -> str:
+    """The run of ``size`` words with most different query words, these marked; dots where it is cut."""
+    parts = re.findall(r"\S+", text or "")
+    keys = [re.sub(r"[\W_]+", "", p.lower()) for p in parts]
+    want = {w.lower() for w in words}
+    last = max(0, len(parts) - size)
+    best = max(range(last + 1), key=lambda i: (len(want & set(keys[i : i + size])), -i), default=0)
+    shown = [f"<mark>{p}</mark>" if k in want else p for p, k in zip(parts[best : best + size], keys[best : best + size], strict=True)]
+    return ("… " if best else "") + " ".join(shown) + (" …" if best + size < len(parts) else "")
+
+
+def with_snippets(page: DataFrame, docs: DataFrame, words: list[str], size: int = 12) -> DataFrame:
+    """The rows of a page with a ``snippet`` of their text (id, text)."""
+    udf = F.pandas_udf(lambda s: s.map(lambda t: snippet_of(t, words, size)), "string")
+    return page.join(docs.select("id", "text"), "id").withColumn("snippet", udf("text")).drop("text")

@@ -15,7 +15,7 @@ EDGE_KEY = ["source", "target", "edge_type"]
 def insert_or_ignore(table: DataFrame, new: DataFrame, key: list[str] = EDGE_KEY) -> DataFrame:
     """The table with those new rows of which it lacks the key, one a key."""
     fresh = new.where("source <> target") if {"source", "target"} <= set(new.columns) else new
-    order = Window.partitionBy(*key).orderBy(*[c for c in new.columns if c not in key])
+    order = Window.partitionBy(*key).orderBy(*([c for c in new.columns if c not in key] or key))
     fresh = fresh.join(table.select(*key), key, "left_anti").withColumn("k_", F.row_number().over(order)).where("k_ = 1").drop("k_")
     return table.unionByName(fresh.select(table.columns))
 
@@ -67,7 +67,15 @@ def delete_cascade(table: DataFrame, columns: list[str], names: DataFrame) -> Da
     return table
 
 
-def move_sector(edges: DataFrame, company: str, to: str) -> DataFrame:
-    """Moves a company: its part_of and has_company rows now name the other sector."""
+def move_sector(edges: DataFrame, company: str, to: str, entities: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Moves a company to a sector: its old part_of and has_company rows go, the new
+    pair comes in if it is not there; all other rows stay as they are.  With
+    ``entities`` (name, sector) their table is returned too, the company's row changed."""
     part, has = (F.col("edge_type") == "part_of") & (F.col("source") == company), (F.col("edge_type") == "has_company") & (F.col("target") == company)
-    return edges.withColumn("target", F.when(part, F.lit(to)).otherwise(F.col("target"))).withColumn("source", F.when(has, F.lit(to)).otherwise(F.col("source"))).dropDuplicates(EDGE_KEY)
+    rest = edges.where(~(part | has) | (part & (F.col("target") == to)) | (has & (F.col("source") == to)))
+    pair = edges.sparkSession.createDataFrame([(company, to, "part_of"), (to, company, "has_company")], "source string, target string, edge_type string")
+    others = [F.lit(None).cast(t).alias(c) for c, t in edges.dtypes if c not in EDGE_KEY]
+    out = insert_or_ignore(rest, pair.select("*", *others).select(edges.columns))
+    if entities is None:
+        return out
+    return out, entities.withColumn("sector", F.when(F.col("name") == company, F.lit(to)).otherwise(F.col("sector")))

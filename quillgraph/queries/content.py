@@ -118,6 +118,33 @@ def _events(m: Model):
     return I.events(e, names)
 
 
+def _orders(m: Model):
+    return m.table("orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy").cast("int").alias("y"), "o_orderpriority", F.round("o_totalprice").cast("long").alias("p"))
+
+
+def _said(m: Model):
+    """Each order as what somebody said, some too short, some without a speaker."""
+    quote = F.when(F.col("id") % 5 == 0, F.lit('"Too short."')).otherwise(F.concat(F.lit('"We shipped order '), "id", F.lit(" on time and the\nclient was pleased with it in "), "y", F.lit('."')))
+    speaker = F.when(F.col("id") % 3 > 0, F.concat(F.lit("\n\n— Mina Rao "), F.col("id") % 7, F.when(F.col("id") % 2 == 0, F.lit(", Head of Sales")).otherwise(""))).otherwise("")
+    return _orders(m).select("id", F.concat(F.lit("# Notes\n"), quote, speaker, F.lit("\n\n\n\n\nMore text.")).alias("text"))
+
+
+def _told(m: Model):
+    """Each order as a relation of one of seven types."""
+    k = F.col("id") % 7
+    name = F.concat(F.lit("Orbis K"), F.col("id") % 50, F.lit(" Works"))
+    text = F.when(k == 0, F.concat(F.lit("The company acquired "), name, F.lit(" in "), F.col("y") + 24, F.lit(".")))
+    for i, (before, after) in enumerate([("It is a subsidiary of ", "."), ("It has a joint venture with ", " and a bank."), ("It is a supplier to ", " since long."), ("It was acquired by ", "."), ("It competes with ", "."), ("It sources from ", ".")], 1):
+        text = F.when(k == i, F.concat(F.lit(before), name, F.lit(after))).otherwise(text)
+    return _orders(m).select("id", text.alias("text"))
+
+
+def _measured(m: Model):
+    """Each order as a figure with a unit and a word for what it is."""
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Revenue grew to Rs "), F.format_number("p", 0), F.lit(" crore in the year."))).when(F.col("id") % 3 == 1, F.concat(F.lit("The margin was "), F.col("id") % 40, F.lit("%."))).otherwise(F.concat(F.lit("We plan "), F.col("id") % 90 + 5, F.lit("-"), F.col("id") % 90 + 9, F.lit(" MW of capacity.")))
+    return _orders(m).select("id", text.alias("text"))
+
+
 QUERIES = {
     "knn_cosine": _m(lambda m: V.nearest(_rows(m), 3, 10)),
     "knn_ip": _m(lambda m: V.nearest(_rows(m), 3, 10, "ip")),
@@ -125,7 +152,7 @@ QUERIES = {
     "knn_doc_type": _m(lambda m: V.nearest(_rows(m), 3, 10, label="2")),
     "knn_all_vs_query": _m(_sims),
     "near_duplicates": _m(lambda m: _near(m, 0.4)),
-    "pseudo_embedding": _m(lambda m: V.embedded(m.table("benchmark").select(F.col("item_id").alias("id"), "text"), V.embedder(8))),
+    "pseudo_embedding": _m(lambda m: V.embedded(m.table("documents").select(F.col("doc_id").alias("id"), "text"), V.embedder(384)).select("id", "text_hash", "model", F.size("v").alias("dims"), F.transform(F.slice("v", 1, 16), lambda x: F.round(x, 6)).alias("v"))),
     "inverted_index_stats": _m(lambda m: S.index_stats(S.postings(_docs(m)))),
     "bm25": _m(lambda m: _bm25(m).select("id", F.round("score", 6).alias("score"))),
     "rrf_hybrid": _m(_hybrid),
@@ -140,9 +167,9 @@ QUERIES = {
     "guidance_filter_dedup": _m(lambda m: X.picked(_docs(m), GUIDANCE, F.regexp_extract("sentence", r"([0-9]+)", 1))),
     "percent_figures": _m(lambda m: _docs(m).select("id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]+\.[0-9]+)"), F.lit(1))).alias("figure")).groupBy("id", "figure").agg(F.count(F.lit(1)).alias("n"))),
     "clean_pages": _m(lambda m: m.table("pages").select("page_id", F.length(X.clean_page(F.col("html"))).alias("n"), F.md5(X.clean_page(F.col("html")).cast("binary")).alias("digest"))),
-    "quotes": _m(lambda m: X.quotes(_docs(m))),
-    "relations": _m(lambda m: X.relations(_docs(m))),
-    "metrics_full": _m(lambda m: X.figures(_docs(m))),
+    "quotes": _m(lambda m: X.quotes(_said(m))),
+    "relations": _m(lambda m: X.relations(_told(m)).select("id", "edge_type", "mention", "year", "role")),
+    "metrics_full": _m(lambda m: X.figures(_measured(m))),
     "insert_or_ignore": _m(_insert),
     "stable_prefix_replace": _m(_replace),
     "upsert_metric": _m(_upsert),
@@ -173,6 +200,11 @@ UNION ALL SELECT 'relations_wrong_kind', 'error', count(*) FROM edge e JOIN enti
 UNION ALL SELECT 'relations_no_has_company', 'error', count(*) FROM edge e WHERE edge_type = 'part_of' AND NOT EXISTS (SELECT 1 FROM edge i WHERE i.edge_type = 'has_company' AND i.source = e.target AND i.target = e.source)
 UNION ALL SELECT 'relations_no_part_of', 'error', count(*) FROM edge e WHERE edge_type = 'has_company' AND NOT EXISTS (SELECT 1 FROM edge i WHERE i.edge_type = 'part_of' AND i.source = e.target AND i.target = e.source)
 UNION ALL SELECT 'relations_both_directions', 'error', count(*) FROM edge e WHERE source < target AND EXISTS (SELECT 1 FROM edge i WHERE i.edge_type = e.edge_type AND i.source = e.target AND i.target = e.source)
+UNION ALL SELECT 'relations_json', 'error', count(*) FROM edge WHERE NOT json_valid(properties)
+UNION ALL SELECT 'hierarchy_sub_sector_orphans', 'error', count(*) FROM entity WHERE kind = 'sub_sector'
+UNION ALL SELECT 'hierarchy_super_sector_orphans', 'error', count(*) FROM entity WHERE kind = 'super_sector' AND name NOT IN (SELECT target FROM edge WHERE edge_type = 'belongs_to')
+UNION ALL SELECT 'hierarchy_cycles', 'error', count(DISTINCT x.source) FROM edge x JOIN edge y ON x.edge_type = 'belongs_to' AND y.edge_type = 'belongs_to' AND x.target = y.source AND y.target = x.source
+UNION ALL SELECT 'fuzzy_duplicates', 'warning', count(*) FROM (SELECT name, string_split(lower(name), ' ') AS w FROM entity WHERE kind = 'company') x, (SELECT name, string_split(lower(name), ' ') AS w FROM entity WHERE kind = 'company') y WHERE x.name < y.name AND (list_has_all(x.w, y.w) OR list_has_all(y.w, x.w))
 UNION ALL SELECT 'entity_tags', 'error', 0
 UNION ALL SELECT 'market_cap_conflicts', 'error', count(*) FROM (SELECT name FROM entity WHERE kind = 'company' GROUP BY name HAVING count(*) > 1)
 UNION ALL SELECT 'orphan_companies', 'error', count(*) FROM entity WHERE kind = 'company' AND name NOT IN (SELECT source FROM edge WHERE edge_type = 'part_of')
@@ -180,6 +212,15 @@ UNION ALL SELECT 'hierarchy_orphans', 'error', count(*) FROM entity WHERE kind =
 UNION ALL SELECT 'hierarchy_several_parents', 'error', count(*) FROM (SELECT source FROM edge WHERE edge_type = 'belongs_to' GROUP BY source HAVING count(DISTINCT target) > 1)
 UNION ALL SELECT 'duplicate_tickers', 'error', count(*) FROM (SELECT ticker FROM entity WHERE ticker IS NOT NULL GROUP BY ticker HAVING count(*) > 1)
 UNION ALL SELECT 'validity_window', 'warning', count(*) FROM edge WHERE edge_type IN ('acquired', 'subsidiary_of') AND valid_from IS NULL"""
+#: Each block of 32 bytes is the hash of all bytes before; the first of seed and text.
+_EMBED = """WITH RECURSIVE grown(text, n, raw) AS (
+  SELECT DISTINCT coalesce(text, ''), 1, unhex(sha256('42:' || coalesce(text, ''))) FROM documents
+  UNION ALL SELECT text, n + 1, raw || unhex(sha256(raw)) FROM grown WHERE octet_length(raw) < 4 * 384),
+whole AS (SELECT text, hex(raw) AS h FROM grown WHERE octet_length(raw) >= 4 * 384),
+numbers AS (SELECT text, list_transform(range(384), lambda i: ('0x' || substr(h, i * 8 + 7, 2) || substr(h, i * 8 + 5, 2) || substr(h, i * 8 + 3, 2) || substr(h, i * 8 + 1, 2))::BIGINT) AS u FROM whole),
+squashed AS (SELECT text, list_transform(u, lambda x: tanh((x - CASE WHEN x >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648.0::DOUBLE)) AS v FROM numbers),
+units AS (SELECT text, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM squashed)
+SELECT doc_id AS id, sha256(coalesce(d.text, '')) AS text_hash, 'pseudo' AS model, 384 AS dims, list_transform(v[1:16], lambda x: round(x / n, 6)) AS v FROM documents d JOIN units u ON u.text = coalesce(d.text, '')"""
 ORACLES = {
     "knn_cosine": _KNN.format(_SIM, f"{_SIM} > 0"),
     "knn_ip": _KNN.format("-list_inner_product(x.v, q.v)", "list_inner_product(x.v, q.v) > 0"),
@@ -192,10 +233,8 @@ ORACLES = {
     "rrf_hybrid": f"WITH {_TOK}, {_BM}, bt AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r FROM bm), vs AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS v FROM (SELECT x.id, round({_SIM}, 6) AS sim FROM ({_V}) x, ({_V}) q WHERE q.id = 0 AND {_SIM} > 0)) SELECT id, round(1.0::DOUBLE / (60 + r) + 1.0::DOUBLE / (60 + coalesce(v, (SELECT count(*) FROM vs) + 1)), 9) AS score FROM bt LEFT JOIN vs USING (id) WHERE r <= 25 ORDER BY score DESC, id LIMIT 20 OFFSET 5",
     "doc_scan_score": f"SELECT * FROM (SELECT doc_id AS id, lang AS title, {_SCORE} AS score FROM (SELECT *, ' ' || lower(text) || ' ' AS t FROM documents)) WHERE score > 0 ORDER BY score DESC, title, id LIMIT 25",
     "incremental_delta": "WITH n AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents), o AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'old' ELSE hash END AS hash FROM n WHERE id % 7 <> 0 UNION ALL SELECT -id - 1, hash FROM n WHERE (-id - 1) % 13 = 0) SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.id = n.id WHERE o.hash IS NULL OR n.hash IS NULL OR o.hash <> n.hash",
-    "token_overlap_match": """WITH q AS (SELECT DISTINCT p_name || ' ' || p_type AS query FROM part), n AS (SELECT p_name AS name, min(p_partkey) AS place FROM part GROUP BY 1),
-      w AS (SELECT query, name, place, list_distinct(string_split(lower(query), ' ')) AS qw, list_distinct(string_split(lower(name), ' ')) AS nw FROM q, n),
-      s AS (SELECT *, len(list_intersect(qw, nw)) AS k FROM w), c AS (SELECT query, name, place, CASE WHEN k = least(len(qw), len(nw)) THEN 1.0 WHEN k / greatest(len(qw), len(nw)) > 0.5 THEN k / greatest(len(qw), len(nw)) END AS score FROM s WHERE k > 0)
-      SELECT query, arg_max(name, score * 1000000 - place) AS name, round(max(score), 6) AS score FROM c WHERE score IS NOT NULL GROUP BY query""",
+    "token_overlap_match": """WITH q AS (SELECT DISTINCT p_name || ' ' || p_type AS query FROM part), n AS (SELECT p_name AS name, min(p_partkey) AS place FROM part GROUP BY 1)
+      SELECT query, arg_min(name, place) AS name, 1.0::DOUBLE AS score FROM q JOIN n ON contains(lower(query), lower(name)) OR contains(lower(name), lower(query)) GROUP BY query""",
     "fuzzy_duplicate_names": """WITH n AS (SELECT DISTINCT name, list_distinct(string_split(lower(name), ' ')) AS w FROM (SELECT p_name || ' ' || lower(p_type) AS name FROM part UNION SELECT p_name FROM part))
       SELECT DISTINCT least(s.name, l.name) AS a, greatest(s.name, l.name) AS b FROM n s, n l WHERE s.name <> l.name AND list_has_all(l.w, s.w)""",
     "normalize_name": r"SELECT name, array_to_string(list_transform(list_filter(string_split(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '_') AS normalised FROM (SELECT DISTINCT p_name || '  ' || lower(p_type) || '-' || p_brand AS name FROM part)",
@@ -206,6 +245,10 @@ ORACLES = {
       SELECT id, "key", sentence FROM (SELECT id, regexp_extract(sentence, '([0-9]+)', 1) AS "key", sentence, row_number() OVER (PARTITION BY id, regexp_extract(sentence, '([0-9]+)', 1) ORDER BY length(sentence) DESC, encode(sentence)) AS k FROM s WHERE regexp_matches(sentence, '[0-9]') AND regexp_matches(sentence, '(?i)the|de|der')) WHERE k = 1""",
     "percent_figures": r"SELECT id, figure, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '([0-9]+\.[0-9]+)', 1)) AS figure FROM documents) GROUP BY 1, 2",
     "clean_pages": r"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)",
+    "pseudo_embedding": _EMBED,
+    "quotes": "SELECT o_orderkey AS id, 'We shipped order ' || o_orderkey || ' on time and the client was pleased with it in ' || year(o_orderdate) || '.' AS quote, CASE WHEN o_orderkey % 3 > 0 THEN 'Mina Rao ' || (o_orderkey % 7) END AS speaker, CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 2 = 0 THEN 'Head of Sales' END AS title FROM orders WHERE o_orderkey % 5 <> 0",
+    "relations": "SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'acquired' WHEN 1 THEN 'subsidiary_of' WHEN 2 THEN 'jv_with' WHEN 3 THEN 'supplier_to' WHEN 4 THEN 'acquired' WHEN 5 THEN 'competes_with' ELSE 'supplier_to' END AS edge_type, 'Orbis K' || (o_orderkey % 50) || ' Works' AS mention, CASE WHEN o_orderkey % 7 = 0 THEN (year(o_orderdate) + 24)::INTEGER END AS year, CASE o_orderkey % 7 WHEN 2 THEN 'symmetric' WHEN 5 THEN 'symmetric' WHEN 4 THEN 'reverse' WHEN 6 THEN 'reverse' ELSE 'forward' END AS role FROM orders",
+    "metrics_full": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'margin' ELSE 'capacity' END AS label, CASE o_orderkey % 3 WHEN 0 THEN 'Rs ' || format('{:,}', round(o_totalprice)::BIGINT) || ' crore' WHEN 1 THEN (o_orderkey % 40) || '%' ELSE (o_orderkey % 90 + 5) || '-' || (o_orderkey % 90 + 9) || ' MW' END AS raw, CASE o_orderkey % 3 WHEN 0 THEN round(o_totalprice) WHEN 1 THEN (o_orderkey % 40)::DOUBLE ELSE (o_orderkey % 90 + 5)::DOUBLE END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'crore' WHEN 1 THEN '%' ELSE 'MW' END AS unit FROM orders",
     "insert_or_ignore": sql("SELECT source, target, edge_type, weight + (edge_type = 'jv_with')::INT AS weight FROM edge WHERE edge_type IN ('acquired', 'jv_with')"),
     "stable_prefix_replace": sql("SELECT source, target, 'derive:jv_with:x' AS source_ref, 'old' AS made FROM edge WHERE edge_type = 'jv_with' UNION ALL SELECT source, target, 'derive:acquired:x', 'old' FROM edge WHERE edge_type = 'acquired' AND valid_from >= DATE '1995-06-01' UNION ALL SELECT source, target, 'derive:acquired:x', 'new' FROM edge WHERE edge_type = 'same_group'"),
     "upsert_metric": sql("SELECT name AS entity_name, 'cap' AS metric, CASE WHEN market_cap IN ('micro_cap', 'large_cap') THEN market_cap ELSE '0' END AS value, CASE WHEN market_cap = 'micro_cap' THEN 2 ELSE 1 END AS computed_at FROM entity WHERE kind = 'company'"),

@@ -43,11 +43,6 @@ def _suggest(m: Model):
     return _r(M.suggestions(M.link_scores(e, "adamic_adar"), companies, e, 0.1, 20), "score")
 
 
-def _voterank(e):
-    rows = [(i, n) for i, n in enumerate(C.voterank(e, 3))]
-    return e.sparkSession.createDataFrame(rows, "place int, node long")
-
-
 SOURCE = "Supplier#000000001"
 QUERIES = {
     "degree": _measure("degree_centrality"),
@@ -65,7 +60,7 @@ QUERIES = {
     "diameter_radius_apl": _g(lambda e: _r(H.eccentricity(e), "avg_path")),
     "betweenness": _g(lambda e: _r(H.betweenness(e), "value")),
     "louvain": _g(C.louvain),
-    "voterank": _g(_voterank),
+    "voterank": _g(C.voterank_table),
     "modularity_given_labels": _g(lambda e: _r(M.modularity(e.withColumn("weight", F.lit(1.0)), _labels(e)), "value")),
     "lp_jaccard": _g(lambda e: _r(M.link_scores(e, "jaccard"), "score")),
     "lp_adamic_adar": _g(lambda e: _r(M.link_scores(e, "adamic_adar"), "score")),
@@ -97,7 +92,16 @@ _LEVELS = f"lv0 AS (SELECT '{SOURCE}' AS node), " + ", ".join(
     f"lv{k} AS (SELECT b AS node, min(a) AS parent FROM steps WHERE a IN (SELECT node FROM lv{k - 1}) AND b NOT IN ({' UNION ALL '.join(f'SELECT node FROM lv{i}' for i in range(k))}) GROUP BY b)" for k in range(1, 5)
 )
 _DIRECTED = "dedge AS (SELECT source AS s, target AS t FROM edge WHERE edge_type IN ('acquired', 'subsidiary_of', 'customer_of') UNION SELECT target, source FROM edge WHERE edge_type = 'competes_with')"
+_PATHS = "reach(src, dst, d, sig) USING KEY (src, dst) AS (SELECT node, node, 0, 1.0::DOUBLE FROM nd UNION SELECT r.src, w.b, min(r.d) + 1, sum(r.sig) FROM reach r JOIN w ON r.dst = w.a LEFT JOIN recurring.reach k ON k.src = r.src AND k.dst = w.b WHERE k.d IS NULL GROUP BY r.src, w.b), dist AS (SELECT src, dst, d, sig FROM reach), top AS (SELECT max(d) AS d FROM dist)"
+_BACK = "acc(src, dst, d, sig, delta) AS (SELECT dist.src, dist.dst, dist.d, dist.sig, 0.0::DOUBLE FROM dist JOIN top ON dist.d = top.d UNION ALL SELECT p.src, p.dst, p.d, p.sig, coalesce(sum(p.sig / c.sig * (1 + c.delta)), 0) FROM (SELECT DISTINCT d - 1 AS lower FROM acc) l JOIN dist p ON p.d = l.lower LEFT JOIN w ON w.a = p.dst LEFT JOIN acc c ON c.src = p.src AND c.dst = w.b WHERE p.d >= 1 GROUP BY p.src, p.dst, p.d, p.sig)"
+_VOTES = """vr(step, node, v, place) AS (
+  SELECT 0, node, 1.0::DOUBLE, NULL::INTEGER FROM nd
+  UNION ALL
+  SELECT s.step + 1, s.node, CASE WHEN s.node = t.node THEN 0.0 WHEN EXISTS (SELECT 1 FROM w WHERE w.a = t.node AND w.b = s.node) THEN greatest(0.0, s.v - 1.0 / (SELECT avg(d) FROM nd)) ELSE s.v END, CASE WHEN s.node = t.node THEN s.step ELSE s.place END
+  FROM vr s, (SELECT x.node FROM vr x JOIN (SELECT w.a AS node, round(sum(y.v), 9) AS votes FROM vr y JOIN w ON w.b = y.node GROUP BY w.a) z ON z.node = x.node WHERE x.place IS NULL AND z.votes > 0 ORDER BY z.votes DESC, x.node LIMIT 1) t)"""
 ORACLES = {
+    "betweenness": _with(_N, _PATHS, _BACK, body="SELECT node, round(coalesce(sum(delta), 0) / 2, 6) AS value FROM nd LEFT JOIN acc ON dst = node AND acc.d > 0 GROUP BY node"),
+    "voterank": _with(_N, _VOTES, body="SELECT place, node FROM vr WHERE step = (SELECT max(step) FROM vr) AND place IS NOT NULL"),
     "degree": _with(_N, body="SELECT node, round(d / ((SELECT count(*) FROM nd) - 1), 6) AS value FROM nd"),
     "laplacian": _with(_N, body="SELECT a AS node, max(x.d) * max(x.d) + max(x.d) + 2 * sum(y.d) AS value FROM w JOIN nd x ON x.node = a JOIN nd y ON y.node = b GROUP BY a"),
     "local_reaching": _with(_N, body="SELECT a AS node, count(*) AS value FROM (SELECT a, b FROM w UNION SELECT x.a, y.b FROM w x JOIN w y ON x.b = y.a) GROUP BY a"),
