@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import slices, written
 
 UNIT = 192
 #: Rows and columns of the 64 coefficients in zigzag order, from the rule: along
@@ -549,12 +549,15 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a document: doc_id, n_bytes, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature, height, width, tensor_bytes.
 
-    Null and empty texts carry 192 spaces; repeated rows give equal rows; a null
-    identifier stays; an empty table gives no rows; other columns are ignored.
+    The media are stored as a table of bytes in the shared folder and read back;
+    the tensors are decoded from what was read (:func:`with_tensors` keeps them).
+    Null and empty texts carry 192 spaces; a text of any length is one image;
+    repeated rows give equal rows; a null identifier stays; an empty table gives
+    no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_media(rows.withColumn("n_bytes", F.octet_length("text").cast("long")))
-    got = with_tensors(rows.drop("text"))
+    got = with_tensors(written(rows.drop("text"), "media", "zstd"))
     return got.select(
         F.col("doc_id").alias(id_col),
         "n_bytes",

@@ -37,14 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back.
 
     It cuts lineage: an executor lost later costs a re-read, not a re-run.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out

@@ -111,6 +111,181 @@ def test_jpeg_refuses_broken_files():
             media_jpeg.payload_of(media_jpeg.decode(bad))
 
 
+class Progressive:
+    """A plain encoder of progressive images, by the standard's procedures, to test the decoder:
+    codes of several lengths, runs of ended blocks, restart intervals, any sampling and size."""
+
+    def __init__(self, height, width, sampling, interval, r):
+        self.h, self.w, self.interval, self.r = height, width, interval, r
+        self.hs, self.vs = max(h for h, _ in sampling), max(v for _, v in sampling)
+        self.comps = []
+        for h, v in sampling:
+            rows, cols = -(-height // (8 * self.vs)) * v, -(-width // (8 * self.hs)) * h
+            real = (-(-(-(-height * v // self.vs)) // 8), -(-(-(-width * h // self.hs)) // 8))
+            coefs = np.zeros((rows, cols, 64), int)
+            for y in range(rows):
+                for x in range(cols):
+                    coefs[y, x, 0] = r.randint(-500, 500)
+                    if y < real[0] and x < real[1]:
+                        for k in r.sample(range(1, 64), r.choice([0, 0, 1, 3, 20])):
+                            coefs[y, x, k] = r.choice([-1, 1]) * r.choice([1, 1, 2, 3, 5, 17, 100])
+            self.comps.append((h, v, rows, cols, real, coefs))
+        self.out = b"\xff\xd8" + self.segment(0xDB, b"\x00" + bytes(r.randint(1, 20) for _ in range(64)))
+        self.out += self.segment(0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+        if interval:
+            self.out += self.segment(0xDD, interval.to_bytes(2, "big"))
+
+    @staticmethod
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def units(self, which):
+        """Blocks of each MCU of a scan."""
+        if len(which) == 1:
+            *_, real, _ = self.comps[which[0]]
+            return [[(which[0], y, x)] for y in range(real[0]) for x in range(real[1])]
+        h0, v0, rows, cols, *_ = self.comps[which[0]]
+        out = []
+        for my in range(rows // v0):
+            for mx in range(cols // h0):
+                out.append([(c, my * self.comps[c][1] + j, mx * self.comps[c][0] + i) for c in which for j in range(self.comps[c][1]) for i in range(self.comps[c][0])])
+        return out
+
+    @staticmethod
+    def bits_of(v):
+        n = abs(v).bit_length()
+        return n, format(v if v >= 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def scan(self, which, lo, hi, high, low, emit):
+        """``emit(chunk)`` gives (symbol or None, bits) of a restart interval's MCUs."""
+        mcus = self.units(which)
+        n = self.interval or len(mcus)
+        chunks = [emit(mcus[i : i + n]) for i in range(0, len(mcus), n)]
+        symbols = sorted({s for c in chunks for s, _ in c if s is not None}, key=lambda s: self.r.random())
+        code = {}
+        if symbols:
+            for i, s in enumerate(symbols):  # three short codes, then long ones
+                code[s] = format(i, "02b") if i < 3 else "11" + format(i - 3, "08b")
+            counts = bytearray(16)
+            counts[1], counts[9] = min(3, len(symbols)), max(0, len(symbols) - 3)
+            if len(symbols) < 4:
+                code = {s: format(i, "02b") for i, s in enumerate(symbols)}
+            self.out += self.segment(0xC4, bytes([(0 if lo == 0 else 0x10)]) + bytes(counts) + bytes(symbols))
+        self.out += self.segment(0xDA, bytes([len(which)]) + b"".join(bytes([c + 1, 0]) for c in which) + bytes([lo, hi, high << 4 | low]))
+        for i, chunk in enumerate(chunks):
+            bits = "".join((code[s] if s is not None else "") + b for s, b in chunk)
+            bits += "1" * (-len(bits) % 8)
+            raw = int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+            self.out += (bytes([0xFF, 0xD0 + (i - 1) % 8]) if i else b"") + raw.replace(b"\xff", b"\xff\x00")
+
+    def coef(self, c, y, x, k):
+        return int(self.comps[c][5][y, x, k])
+
+    def dc_first(self, which, low):
+        def emit(mcus):
+            last, out = {}, []
+            for m in mcus:
+                for c, y, x in m:
+                    v = self.coef(c, y, x, 0) >> low
+                    n, b = self.bits_of(v - last.get(c, 0))
+                    last[c] = v
+                    out.append((n, b))
+            return out
+
+        self.scan(which, 0, 0, 0, low, emit)
+
+    def dc_refine(self, which, low):
+        self.scan(which, 0, 0, low + 1, low, lambda mcus: [(None, str(self.coef(c, y, x, 0) >> low & 1)) for m in mcus for c, y, x in m])
+
+    @staticmethod
+    def ended(run, more=""):
+        n = run.bit_length() - 1
+        return (n << 4, (format(run - (1 << n), f"0{n}b") if n else "") + more)
+
+    def ac_first(self, c, lo, hi, low):
+        cut = lambda v: (abs(v) >> low) * (1 if v > 0 else -1)
+
+        def emit(mcus):
+            out, run = [], 0
+            for ((_, y, x),) in mcus:
+                zeros = 0
+                for k in range(lo, hi + 1):
+                    v = cut(self.coef(c, y, x, k))
+                    if not v:
+                        zeros += 1
+                        continue
+                    if run:
+                        out.append(self.ended(run))
+                        run = 0
+                    while zeros > 15:
+                        out.append((0xF0, ""))
+                        zeros -= 16
+                    n, b = self.bits_of(v)
+                    out.append((zeros << 4 | n, b))
+                    zeros = 0
+                run += zeros > 0
+            if run:
+                out.append(self.ended(run))
+            return out
+
+        self.scan([c], lo, hi, 0, low, emit)
+
+    def ac_refine(self, c, lo, hi, low):
+        def emit(mcus):
+            out, run, held = [], 0, ""
+            for ((_, y, x),) in mcus:
+                size = [abs(self.coef(c, y, x, k)) >> low for k in range(64)]
+                last = max((k for k in range(lo, hi + 1) if size[k] == 1), default=0)
+                zeros, bits = 0, ""
+                for k in range(lo, hi + 1):
+                    if not size[k]:
+                        zeros += 1
+                        continue
+                    while zeros > 15 and k <= last:
+                        if run:
+                            out.append(self.ended(run, held))
+                            run, held = 0, ""
+                        out.append((0xF0, bits))
+                        zeros, bits = zeros - 16, ""
+                    if size[k] > 1:
+                        bits += str(size[k] & 1)
+                        continue
+                    if run:
+                        out.append(self.ended(run, held))
+                        run, held = 0, ""
+                    out.append((zeros << 4 | 1, ("1" if self.coef(c, y, x, k) > 0 else "0") + bits))
+                    zeros, bits = 0, ""
+                if zeros or bits:
+                    run, held = run + 1, held + bits
+            if run:
+                out.append(self.ended(run, held))
+            return out
+
+        self.scan([c], lo, hi, low + 1, low, emit)
+
+
+@pytest.mark.parametrize(("size", "sampling", "interval"), [((45, 61), [(2, 2), (1, 1), (1, 1)], 3), ((17, 70), [(2, 1), (1, 1), (1, 1)], 0), ((40, 33), [(1, 1)], 2), ((8, 8), [(1, 2), (1, 1), (1, 1)], 1)])
+def test_jpeg_of_another_encoder(size, sampling, interval):
+    """Spectral selection and successive approximation with mixed codes, restarts and odd sizes."""
+    e = Progressive(*size, sampling, interval, random.Random(size[0]))
+    n = len(sampling)
+    e.dc_first(list(range(n)), 1)
+    e.ac_first(0, 1, 5, 2)
+    for c in range(1, n):
+        e.ac_first(c, 1, 63, 1)
+    e.ac_first(0, 6, 63, 2)
+    e.ac_refine(0, 1, 63, 1)
+    e.dc_refine(list(range(n)), 0)
+    for c in range(1, n):
+        e.ac_refine(c, 1, 63, 0)
+    e.ac_refine(0, 1, 63, 0)
+    image = media_jpeg.decode(e.out + b"\xff\xd9")
+    assert (image.height, image.width) == size
+    for got, (*_, coefs) in zip(image.components, e.comps, strict=True):
+        assert (got.coefs == coefs.reshape(-1, 64)).all()
+    assert image.rgb().shape == (*size, 3)
+
+
 def test_jpeg_zigzag():
     assert media_jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(media_jpeg.ZIGZAG) == list(range(64))
 
