@@ -166,9 +166,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score.
 
     Learns from the rows that are not held out and have a language; a null
-    identifier is neither held out nor learned from.  Repeated rows are
-    predicted alike; an empty table gives no rows; without any label all is
-    ``und``.
+    identifier is neither held out nor learned from.  Whole texts are judged,
+    however long; of languages at the same distance the first by name is given.
+    Repeated rows are predicted alike; an empty table gives no rows; without any
+    label all is ``und``; other columns, whatever their names, are ignored.
     """
     seen = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -619,6 +619,41 @@ def test_language(spark):
     assert {(x.doc_id, x.lang_pred) for x in shuffled.collect()} == {(x.doc_id, x.lang_pred) for x in got}
 
 
+def test_language_by_brute_force(spark):
+    """Profiles, out-of-place distances and predictions by their definition."""
+    r = random.Random(8)
+    alphabets = {"aa": "abcde fgh", "bb": "cdefg hij", "cc": "xyzab cde"}
+    rows = [(i, "".join(r.choice(alphabets[lang]) for _ in range(r.randint(1, 120))), lang, "s") for i in range(150) for lang in [("aa", "bb", "cc")[i % 3]]]
+    got = {x.doc_id: x for x in langid.identify(frame(spark, rows)).collect()}
+
+    def grams(text):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            p = f"\x01{w}\x01"
+            for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranked = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.LENGTH]
+    profiles = {}
+    for lang in alphabets:
+        total = {}
+        for i, t, own, _ in rows:
+            if own == lang and zlib.crc32(str(i).encode()) % 4 != 2:
+                for g, n in grams(t).items():
+                    total[g] = total.get(g, 0) + n
+        profiles[lang] = {g: k for k, g in enumerate(ranked(total))}
+    for i, t, *_ in rows:
+        own = ranked(grams(t))
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        apart = {lang: sum(abs(p[g] - k) if g in p else langid.LENGTH for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=lambda x: apart[x])
+        assert got[i].lang_pred == best and abs(got[i].score - (1 - apart[best] / (len(own) * langid.LENGTH))) < 1e-12
+
+
 def test_language_empty(empty):
     assert langid.identify(empty).count() == 0
 

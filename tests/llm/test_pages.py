@@ -146,6 +146,24 @@ def test_warc(spark):
     assert warc.archived(pages(spark, [])).count() == 0
 
 
+def test_warc_names_and_files(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (3, "u", "a"), (4, "u", "b"), (4, "u", "b"), (None, "u", "c"), (None, "u", "c"), (5, "u", "d"), (5, "u", "d")] + [(10 + i, f"u{i}", "x" * 500 + str(i)) for i in range(40)]
+    df = warc.with_originals(pages(spark, rows).selectExpr("page_id", "url", "encode(html, 'utf-8') as payload"))
+    tables = warc.write_archives(df.coalesce(1), f"{tmp_path}/w", 4000).collect()
+    assert len(tables) > 2 and sum(t.records for t in tables) == len(rows)
+    names, refers = [], []
+    for t in tables:
+        with open(t.uri, "rb") as f:
+            for r in warc.Reader(f):
+                names.append(r.headers["WARC-Record-ID"])
+                if r.kind == "revisit":
+                    refers.append((r.headers["X-Refers-To-Page-ID"], r.headers.get("WARC-Refers-To")))
+    assert len(set(names)) == len(names) == len(rows) + len(tables)
+    assert all(to is None or to in names for _, to in refers) and {p for p, to in refers if to} == {"1"}
+    got = warc.read_archives(spark.createDataFrame(tables)).collect()
+    assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in got if r.page_id is None or r.page_id < 10) == sorted(map(str, [(1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "revisit", 1), (4, "revisit", 1), (4, "revisit", 1), (None, "response", None), (None, "response", None), (5, "response", None), (5, "response", None)]))
+
+
 def test_warc_reader_checks(spark, tmp_path):
     one = warc.record_bytes("response", "http://a/", "<urn:uuid:1>", b"hello")
     two = warc.record_bytes("revisit", "http://b/", "<urn:uuid:2>", b"hello")
