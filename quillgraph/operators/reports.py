@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,5 +64,33 @@ def verify_snapshot(tables: dict[str, DataFrame], at: str) -> DataFrame:
     return out
 
 
-def restore_snapshot(spark: SparkSession, at: str, schemas: dict) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in schemas.items()}
+def exported_schema(tables: dict[str, DataFrame], order: list[str] | None = None) -> str:
+    """A JSON text of all schemas, tables that others refer to first if ``order`` says so."""
+    names = [n for n in order or [] if n in tables] + sorted(n for n in tables if n not in (order or []))
+    return json.dumps([{"table": n, "schema": json.loads(tables[n].schema.json())} for n in names], indent=1)
+
+
+def restore_snapshot(spark: SparkSession, at: str, schemas: dict, references: list[tuple[str, str, str, str]] = (), to: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot.
+
+    ``references`` (table, column, of table, of column) must hold: a value that
+    the other table lacks is an error, and nothing is written then.  With ``to``
+    the tables are written to a folder beside it, which then takes its place.
+    """
+    out = {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in schemas.items()}
+    for table, column, of, key in references:
+        gone = out[table].where(F.col(column).isNotNull()).join(out[of].select(F.col(key).alias(column)), column, "left_anti")
+        if (row := gone.select(column).first()) is not None:
+            raise ValueError(f"{table}.{column}: {row[0]!r} is not in {of}.{key}")
+    if to is None:
+        return out
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    draft, old = f"{to}.{uuid.uuid4().hex}", f"{to}.{uuid.uuid4().hex}.old"
+    for name, df in out.items():
+        df.write.parquet(f"{draft}/{name}")
+    fs = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(to)):
+        fs.rename(path(to), path(old))
+    fs.rename(path(draft), path(to))
+    fs.delete(path(old), True)
+    return {name: spark.read.schema(schema).parquet(f"{to}/{name}") for name, schema in schemas.items()}

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import checkpointed
+
 K1, B = 1.2, 0.75
 RRF = 60
 
@@ -25,12 +27,24 @@ def postings(docs: DataFrame, stem=None) -> DataFrame:
     return out.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _is(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, terms: list[str], index: DataFrame | None = None) -> DataFrame:
     """id, score of documents with all the terms.  An empty query is an error."""
     terms = list(dict.fromkeys(t.lower() for t in terms if t))
     if not terms:
         raise ValueError("an empty query")
-    index = postings(docs) if index is None else index
+    if index is None:  # one pass over the texts, without postings
+        found = docs.select("id", tokens(F.col("text")).alias("t"))
+        light = found.select("id", F.size("t").alias("len"), F.array(*[F.size(F.filter("t", _is(w))) for w in terms]).alias("tf"))
+        light = checkpointed(light)
+        dfs = F.array(*[F.count(F.when(F.col("tf")[i] > 0, 1)) for i in range(len(terms))])
+        stats = light.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), dfs.alias("df"))
+        norm = K1 * (1 - B + B * F.col("len") / F.col("avg"))
+        score = F.aggregate(F.zip_with("tf", "df", lambda tf, df: F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)), F.lit(0.0), lambda s, x: s + x)
+        return light.where(~F.exists("tf", lambda x: x == 0)).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row
     sizes = docs.select("id", F.size(tokens(F.col("text"))).alias("len"))
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     hit = index.where(F.col("term").isin(terms))

@@ -9,6 +9,7 @@ from ..operators import community as C
 from ..operators import editions as D
 from ..operators import events as Y
 from ..operators import integrity as I
+from ..operators import market as G
 from ..operators import mentions as N
 from ..operators import metrics as M
 from ..operators import patterns as P
@@ -123,7 +124,45 @@ def _docs(m: Model):
     return m.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_type"), F.col("lang").alias("title"), "text")
 
 
+def _quotes(m: Model):
+    """Each supplier's figures as a quote service gives them."""
+    s = m.table("supplier").select(F.col("s_name").alias("entity"), F.col("s_acctbal").alias("v"), F.when(F.col("s_suppkey") % 4 == 0, "USD").otherwise("INR").alias("currency"))
+    each = lambda field, value: F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
+    rows = F.array(each("totalRevenue", F.col("v") * 1e7), each("grossMargins", F.col("v") / 10000), each("beta", F.round("v") / 1000), each("odd", F.col("v")), each("trailingPE", F.lit("n/a")))
+    return s.select("entity", "currency", F.explode(rows).alias("r")).select("entity", "currency", "r.*")
+
+
+def _prose(m: Model):
+    """Each order as a sentence with an amount, or a count that is none."""
+    k, p = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
+    text = F.when(k % 5 == 0, F.concat(F.lit("Net revenue came in at Rs. "), p, F.lit(" crore for Q2 FY26."))).when(k % 5 == 1, F.concat(F.lit("They opened "), k % 90 + 1, F.lit("% more stores than before.")))
+    text = text.when(k % 5 == 2, F.concat(F.lit("EBITDA margin rose by "), k % 300 + 20, F.lit(" bps in Mar 2026."))).when(k % 5 == 3, F.concat(F.lit("Net debt fell to "), k % 9 + 1, F.lit(".5x of equity there."))).otherwise(F.concat(F.lit("It is "), k % 9 + 2, F.lit("x more fun than it was before.")))
+    return m.table("orders").select(k.alias("id"), text.alias("text"))
+
+
+def _taxonomy(m: Model):
+    n = m.table("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("child"), F.concat(F.lit("Region"), "n_regionkey").alias("parent"))
+    up = n.where("k % 7 <> 3").select("child", F.when(F.col("k") == 1, F.lit("NATION_2")).otherwise(F.col("parent")).alias("parent"), F.lit("sector").alias("kind"))
+    more = m.spark.createDataFrame([("NATION_4", "Other", "sector"), ("Nowhere", "Other", "sector"), ("Sub A", "NATION_5", "sub_sector"), ("Sub A", "NATION_6", "sub_sector"), ("NATION_8", "Nobody", "sub_sector")], "child string, parent string, kind string")
+    return up.unionByName(more)
+
+
+def _recall(m: Model):
+    rows = m.table("benchmark").select(F.col("item_id").cast("long").alias("i"))
+    asked = rows.select(F.col("i").alias("question"), F.concat(F.lit("c"), F.col("i") % 3).alias("category"), (F.col("i") * 2).alias("expect"))
+    found = rows.select(F.col("i").alias("question"), F.explode(F.array(F.lit("bm25"), F.lit("hybrid"))).alias("mode")).select("question", "mode", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place"))
+    found = found.withColumn("found", F.when(F.col("mode") == "bm25", F.col("question") + F.col("place")).otherwise(F.col("question") * 2 - F.col("place") % 4))
+    return G.recall_at(asked, found)
+
+
 QUERIES = {
+    "market_measures": _m(lambda m: G.market_measures(_quotes(m)).withColumn("value_num", F.round("value_num", 6))),
+    "prose_measures": _m(lambda m: G.measures(_prose(m)).select("id", "label", "raw", "value", "unit", "period")),
+    "built_hierarchy": _m(lambda m: G.built_hierarchy(_taxonomy(m))[1]),
+    "hierarchy_entities": _m(lambda m: G.built_hierarchy(_taxonomy(m))[0]),
+    "taxonomy_faults": _m(lambda m: G.taxonomy_faults(_taxonomy(m), m.table("nation").select(F.col("n_name").alias("name")))),
+    "industry_competitors": _m(lambda m: G.industry_competitors(m.table("supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 9 > 0, F.concat(F.lit("i"), F.col("s_nationkey"))).alias("industry")))),
+    "retrieval_recall": _m(_recall),
     "note_checks": _m(lambda m: K.all_notes(_read(m), _entities(m), SECTORS, KNOWN)),
     "provenance_checks": _m(lambda m: K.provenance_checks(_read(m), _files(m))),
     "provenance_census": _m(lambda m: K.provenance_census(_read(m), TODAY)),
@@ -216,7 +255,18 @@ _V = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
 _TOK = r"tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+'), lambda t: t <> '')) AS term FROM documents), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT doc_id AS id, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+'), lambda t: t <> '')) AS l FROM documents), st AS (SELECT count(*) AS n, avg(l) AS a FROM len)"
 _BM = "bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / a))) AS score FROM post JOIN (SELECT term, count(*) AS df FROM post WHERE term IN ('the', 'and') GROUP BY term) USING (term) JOIN len USING (id), st GROUP BY id HAVING count(*) = 2)"
 
+_TAX = """tax AS (SELECT n_name AS child, CASE WHEN n_nationkey = 1 THEN 'NATION_2' ELSE 'Region' || n_regionkey END AS parent, 'sector' AS kind FROM nation WHERE n_nationkey % 7 <> 3
+  UNION ALL SELECT * FROM (VALUES ('NATION_4', 'Other', 'sector'), ('Nowhere', 'Other', 'sector'), ('Sub A', 'NATION_5', 'sub_sector'), ('Sub A', 'NATION_6', 'sub_sector'), ('NATION_8', 'Nobody', 'sub_sector')) x(a, b, c))"""
 ORACLES = {
+    "market_measures": """SELECT s_name AS entity, label AS metric_label, round(CASE label WHEN 'total_revenue' THEN s_acctbal * 1e7 * CASE WHEN s_suppkey % 4 = 0 THEN 83.0 ELSE 1.0 END / 1e7 WHEN 'gross_margin' THEN s_acctbal / 10000 * CASE WHEN s_acctbal / 10000 < 1 THEN 100 ELSE 1 END ELSE round(s_acctbal) / 1000 END, 6) AS value_num, unit, period
+      FROM supplier, (VALUES ('total_revenue', 'crore_inr', 'TTM'), ('gross_margin', 'percent', 'TTM'), ('beta', 'dimensionless', 'latest')) t(label, unit, period)""",
+    "prose_measures": """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'revenue' WHEN 2 THEN 'ebitda_margin' ELSE 'debt' END AS label, CASE o_orderkey % 5 WHEN 0 THEN 'Rs. ' || round(o_totalprice)::BIGINT || ' crore' WHEN 2 THEN (o_orderkey % 300 + 20) || ' bps' ELSE (o_orderkey % 9 + 1) || '.5x' END AS raw,
+      CASE o_orderkey % 5 WHEN 0 THEN round(o_totalprice) WHEN 2 THEN (o_orderkey % 300 + 20)::DOUBLE ELSE (o_orderkey % 9 + 1) + 0.5::DOUBLE END AS value, CASE o_orderkey % 5 WHEN 0 THEN 'crore' WHEN 2 THEN 'bps' ELSE 'x' END AS unit, CASE o_orderkey % 5 WHEN 0 THEN 'Q2 FY26' WHEN 2 THEN 'Mar 2026' END AS period FROM orders WHERE o_orderkey % 5 IN (0, 2, 3)""",
+    "built_hierarchy": f"WITH {_TAX} SELECT DISTINCT child AS source, parent AS target, 'belongs_to' AS edge_type FROM tax",
+    "hierarchy_entities": f"WITH {_TAX} SELECT DISTINCT parent AS name, 'super_sector' AS kind FROM tax WHERE kind = 'sector' UNION ALL SELECT DISTINCT child, kind FROM tax WHERE kind = 'sub_sector'",
+    "taxonomy_faults": f"WITH {_TAX} SELECT 'unknown_sector' AS fault, 'Nowhere' AS name UNION ALL SELECT 'unmapped_sector', n_name FROM nation WHERE n_name NOT IN (SELECT child FROM tax WHERE kind = 'sector') UNION ALL SELECT 'mapped_twice', 'NATION_4' UNION ALL SELECT 'unknown_parent', 'Nobody' UNION ALL SELECT 'super_sector_collides', 'NATION_2' UNION ALL SELECT 'sub_sector_collides', 'NATION_8' UNION ALL SELECT 'sub_sector_repeats', 'Sub A'",
+    "industry_competitors": "SELECT least(x.s_name, y.s_name) AS source, greatest(x.s_name, y.s_name) AS target, 'competes_with' AS edge_type FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey WHERE x.s_suppkey % 9 > 0 AND y.s_suppkey % 9 > 0",
+    "retrieval_recall": "WITH i AS (SELECT item_id AS q FROM benchmark) SELECT 'c' || (q % 3) AS category, mode, count(*) AS n, round(avg(CASE WHEN mode = 'bm25' THEN (q < 5)::INT ELSE 1 END), 6) AS recall FROM i, (VALUES ('bm25'), ('hybrid')) t(mode) GROUP BY 1, 2",
     "note_checks": _n(_CHECKS),
     "provenance_checks": _n("SELECT path, 'source_gone' AS \"check\", 'warning' AS severity, CASE WHEN k % 6 = 0 THEN '/Reports/r.pdf' ELSE '/Editions/ed_4.md' END AS detail FROM note WHERE k % 6 = 0 OR k % 5 = 4"),
     "provenance_census": _n("SELECT 'company' AS \"group\", CASE k % 3 WHEN 1 THEN 'human-reviewed' WHEN 2 THEN 'machine-confirmed' ELSE 'unverified' END AS tier, count(*) AS notes, count(*) FILTER (k % 2 = 0) AS stale FROM note GROUP BY 1, 2"),
