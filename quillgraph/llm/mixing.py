@@ -191,16 +191,18 @@ def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0, weights
     some = written(some.groupBy("pattern", "h").agg(F.sum("k").alias("some")), "mix-some")
     ties = light.join(few(some.select("pattern", "h")), ["pattern", "h"]).groupBy("pattern", "h", "part").agg(F.count(F.lit(1)).alias("n"))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("pattern", "h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ties = written(ties.withColumn("first", first).join(few(some), ["pattern", "h"]).where("first < some").select("pattern", F.col("h").alias("h_"), "part", (F.col("some") - F.col("first")).alias("some")), "mix-ties")
+    ties = written(ties.withColumn("first", first).join(few(some), ["pattern", "h"]).where("first < some").select("pattern", F.col("h").alias("h_"), "part", (F.col("some") - F.col("first")).alias("some"), (F.col("some") - F.col("first") >= F.col("n")).alias("all_")), "mix-ties")
 
     got = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     got = got.join(few(plan.select("pattern", "times", "cut", "last")), "pattern").join(F.broadcast(ties) if few is F.broadcast else ties, ["pattern", "h_", "part"], "left")
     own = bucket(F.col("h_"))
-    once = (own < F.col("cut")) | ((own == F.col("cut")) & (F.col("h_") <= F.col("last")))
-    n = F.row_number().over(Window.partitionBy("pattern", "h_", "part").orderBy("at"))
-    plain = got.where("some is null").withColumn("once", once.cast("int"))
-    tied = got.where("some is not null").withColumn("once", (n <= F.col("some")).cast("int"))
-    got = plain.unionByName(tied)
+    once = (own < F.col("cut")) | ((own == F.col("cut")) & (F.col("h_") <= F.col("last"))) | F.coalesce("all_", F.lit(False))
+    plain = got.withColumn("once", once.cast("int"))
+    if not ties.where("not all_").isEmpty():  # equal rows in one place, of which only some are taken
+        n = F.row_number().over(Window.partitionBy("pattern", "h_", "part").orderBy("at"))
+        tied = got.where("not all_").withColumn("once", (n <= F.col("some")).cast("int"))
+        plain = plain.where("all_ is null or all_").unionByName(tied)
+    got = plain
     out = got.select(*[f"`{c}`" for c in names], "size", "pattern", (F.col("times") + F.col("once")).cast("int").alias("repeats"))
     return out, {x: (s, t) for x, s, t in zip(found, sizes, targets, strict=True)}
 
