@@ -79,3 +79,21 @@ def move_sector(edges: DataFrame, company: str, to: str, entities: DataFrame | N
     if entities is None:
         return out
     return out, entities.withColumn("sector", F.when(F.col("name") == company, F.lit(to)).otherwise(F.col("sector")))
+
+
+def rebuilt(table: DataFrame, schema, key: list[str]) -> DataFrame:
+    """The rows under a target schema: its columns in its order and types, one row a key.
+
+    A value that the new type cannot hold, and a null in a column that must have
+    one, is an error, so that nothing is lost on the way."""
+    casts = [(F.col(f.name) if f.name in table.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    out = table.select(*casts, *[F.col(f.name).alias(f"was_{f.name}") for f in schema.fields if f.name in table.columns])
+    lost = F.lit(False)
+    for f in schema.fields:
+        if f.name in table.columns:
+            lost |= F.col(f.name).isNull() & F.col(f"was_{f.name}").isNotNull()
+        if not f.nullable:
+            lost |= F.col(f.name).isNull()
+    if (row := out.where(lost).first()) is not None:
+        raise ValueError(f"no such row in the new schema: {row}")
+    return out.select(*[f.name for f in schema.fields]).dropDuplicates(key)

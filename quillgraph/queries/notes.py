@@ -135,7 +135,7 @@ def _quotes(m: Model):
 def _prose(m: Model):
     """Each order as a sentence with an amount, or a count that is none."""
     k, p = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
-    text = F.when(k % 5 == 0, F.concat(F.lit("Net revenue came in at Rs. "), p, F.lit(" crore for Q2 FY26."))).when(k % 5 == 1, F.concat(F.lit("They opened "), k % 90 + 1, F.lit("% more stores than before.")))
+    text = F.when(k % 5 == 0, F.concat(F.lit("Net revenue came in at Rs."), p, F.lit(" crore for Q2 FY26."))).when(k % 5 == 1, F.concat(F.lit("They opened "), k % 90 + 1, F.lit("% more stores than before.")))
     text = text.when(k % 5 == 2, F.concat(F.lit("EBITDA margin rose by "), k % 300 + 20, F.lit(" bps in Mar 2026."))).when(k % 5 == 3, F.concat(F.lit("Net debt fell to "), k % 9 + 1, F.lit(".5x of equity there."))).otherwise(F.concat(F.lit("It is "), k % 9 + 2, F.lit("x more fun than it was before.")))
     return m.table("orders").select(k.alias("id"), text.alias("text"))
 
@@ -155,7 +155,36 @@ def _recall(m: Model):
     return G.recall_at(asked, found)
 
 
+def _filed(m: Model):
+    """Suppliers with paths, some of them wrong, and the files that there are."""
+    s = m.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("company").alias("kind"), F.regexp_replace("s_name", "#", "_").alias("stem"))
+    path = F.when(F.col("k") % 5 == 0, F.lit("")).when(F.col("k") % 9 == 1, F.concat(F.lit("findata/Sectors/"), "stem", F.lit(".md"))).when(F.col("k") % 11 == 2, F.concat(F.lit("findata/Companies/bad name "), "k", F.lit(".md"))).otherwise(F.concat(F.lit("findata/Companies/"), "stem", F.lit(".md")))
+    e = s.select("k", "name", "kind", path.alias("file_path"), F.when(F.col("k") % 6 == 0, F.lit("Other")).otherwise(F.col("stem")).alias("normalized_name"))
+    files = e.where("file_path <> '' and k % 7 <> 3").select(F.col("file_path").alias("path")).unionByName(m.spark.createDataFrame([("findata/Companies/alone.md",)], "path string"))
+    return e, files
+
+
+def _facts(m: Model):
+    e = m.table("events").select(F.col("user_id").cast("string").alias("entity"), F.when(F.col("event_id") % 10 == 0, F.lit("{bad")).otherwise(F.col("props")).alias("properties"))
+    names = m.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("name"))
+    return I.quotes(e, names).unionByName(I.figures(e, names))
+
+
+def _note_tags(m: Model):
+    n = _read(m).where("k % 3 <> 0").select("path", "tags")
+    table = notes(m).select(F.col("path").alias("note_path"), F.explode(F.array(F.lit("entity_type/company"), F.lit("geography/mars"))).alias("tag"))
+    return I.note_tags(table, n)
+
+
+def _meta(m: Model):
+    return I.build_meta(m.spark.createDataFrame([("generation", "12"), ("schema_version", "3"), ("model", "x")], "key string, value string"), {"schema_version": "3", "model": "y", "gone": "1"})
+
+
 QUERIES = {
+    "file_path_checks": _m(lambda m: I.file_paths(*_filed(m)).unionByName(I.names_and_files(*_filed(m)))),
+    "fact_checks": _m(_facts),
+    "note_tag_checks": _m(_note_tags),
+    "build_meta_checks": _m(_meta),
     "market_measures": _m(lambda m: G.market_measures(_quotes(m)).withColumn("value_num", F.round("value_num", 6))),
     "prose_measures": _m(lambda m: G.measures(_prose(m)).select("id", "label", "raw", "value", "unit", "period")),
     "built_hierarchy": _m(lambda m: G.built_hierarchy(_taxonomy(m))[1]),
@@ -257,10 +286,16 @@ _BM = "bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (t
 
 _TAX = """tax AS (SELECT n_name AS child, CASE WHEN n_nationkey = 1 THEN 'NATION_2' ELSE 'Region' || n_regionkey END AS parent, 'sector' AS kind FROM nation WHERE n_nationkey % 7 <> 3
   UNION ALL SELECT * FROM (VALUES ('NATION_4', 'Other', 'sector'), ('Nowhere', 'Other', 'sector'), ('Sub A', 'NATION_5', 'sub_sector'), ('Sub A', 'NATION_6', 'sub_sector'), ('NATION_8', 'Nobody', 'sub_sector')) x(a, b, c))"""
+_FILED = """e AS (SELECT s_suppkey AS k, replace(s_name, '#', '_') AS stem, CASE WHEN s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 9 = 1 THEN 1 WHEN s_suppkey % 11 = 2 THEN 2 ELSE 3 END AS w FROM supplier)"""
 ORACLES = {
+    "file_path_checks": f"""WITH {_FILED} SELECT 'file_path_empty' AS "check", 'error' AS severity, count(*) AS count FROM e WHERE w = 0 UNION ALL SELECT 'file_path_missing', 'error', count(*) FROM e WHERE w > 0 AND k % 7 = 3 UNION ALL SELECT 'file_path_folder', 'error', count(*) FROM e WHERE w = 1
+      UNION ALL SELECT 'file_path_name', 'error', count(*) FROM e WHERE w = 2 UNION ALL SELECT 'normalization_stem', 'warning', count(*) FROM e WHERE w > 0 AND (k % 6 = 0 OR w = 2) UNION ALL SELECT 'normalization_orphan_files', 'warning', 1""",
+    "fact_checks": " UNION ALL ".join(f"SELECT '{t}_orphans' AS \"check\", 'error' AS severity, count(*) AS count FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT '{t}_json', 'error', count(*) FROM events WHERE event_id % 10 = 0 OR NOT json_valid(props)" for t in ("quotes", "company_metrics")),
+    "note_tag_checks": _n("SELECT 'note_tags_missing_note' AS \"check\", 'error' AS severity, 2 * count(*) AS count FROM note WHERE k % 3 = 0 UNION ALL SELECT 'note_tags_dropped', 'error', count(*) FROM note WHERE k % 3 <> 0 AND k % 4 <> 0"),
+    "build_meta_checks": "SELECT 'db_meta_generation' AS \"check\", 'error' AS severity, 0::BIGINT AS count UNION ALL SELECT 'db_meta_schema_version', 'error', 0 UNION ALL SELECT 'db_meta_model', 'error', 1 UNION ALL SELECT 'db_meta_gone', 'error', 1",
     "market_measures": """SELECT s_name AS entity, label AS metric_label, round(CASE label WHEN 'total_revenue' THEN s_acctbal * 1e7 * CASE WHEN s_suppkey % 4 = 0 THEN 83.0 ELSE 1.0 END / 1e7 WHEN 'gross_margin' THEN s_acctbal / 10000 * CASE WHEN s_acctbal / 10000 < 1 THEN 100 ELSE 1 END ELSE round(s_acctbal) / 1000 END, 6) AS value_num, unit, period
       FROM supplier, (VALUES ('total_revenue', 'crore_inr', 'TTM'), ('gross_margin', 'percent', 'TTM'), ('beta', 'dimensionless', 'latest')) t(label, unit, period)""",
-    "prose_measures": """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'revenue' WHEN 2 THEN 'ebitda_margin' ELSE 'debt' END AS label, CASE o_orderkey % 5 WHEN 0 THEN 'Rs. ' || round(o_totalprice)::BIGINT || ' crore' WHEN 2 THEN (o_orderkey % 300 + 20) || ' bps' ELSE (o_orderkey % 9 + 1) || '.5x' END AS raw,
+    "prose_measures": """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'revenue' WHEN 2 THEN 'ebitda_margin' ELSE 'debt' END AS label, CASE o_orderkey % 5 WHEN 0 THEN 'Rs.' || round(o_totalprice)::BIGINT || ' crore' WHEN 2 THEN (o_orderkey % 300 + 20) || ' bps' ELSE (o_orderkey % 9 + 1) || '.5x' END AS raw,
       CASE o_orderkey % 5 WHEN 0 THEN round(o_totalprice) WHEN 2 THEN (o_orderkey % 300 + 20)::DOUBLE ELSE (o_orderkey % 9 + 1) + 0.5::DOUBLE END AS value, CASE o_orderkey % 5 WHEN 0 THEN 'crore' WHEN 2 THEN 'bps' ELSE 'x' END AS unit, CASE o_orderkey % 5 WHEN 0 THEN 'Q2 FY26' WHEN 2 THEN 'Mar 2026' END AS period FROM orders WHERE o_orderkey % 5 IN (0, 2, 3)""",
     "built_hierarchy": f"WITH {_TAX} SELECT DISTINCT child AS source, parent AS target, 'belongs_to' AS edge_type FROM tax",
     "hierarchy_entities": f"WITH {_TAX} SELECT DISTINCT parent AS name, 'super_sector' AS kind FROM tax WHERE kind = 'sector' UNION ALL SELECT DISTINCT child, kind FROM tax WHERE kind = 'sub_sector'",

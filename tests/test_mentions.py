@@ -284,3 +284,28 @@ def test_builds_are_reused(spark, tmp_path):
     fresh = staged.staged(spark, root, SOURCES, {"t": lambda: made.append(1) or spark.range(5).toDF("x")}, name="try", rebuild=True)
     assert tables["t"].schema == again["t"].schema and len(made) == 2 and fresh["t"].count() == 5
     assert staged.dropped_builds(spark, "try") == 1 and Model(spark, root).edges.count() == n
+
+
+def test_rebuilt_tables(spark):
+    from pyspark.sql import types as T
+
+    table = frame(spark, [("a", "1", "x"), ("a", "1", "x"), ("b", None, "y")], "name string, n string, gone string")
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType(), False), T.StructField("new", T.DateType())])
+    got = store.rebuilt(table, schema, ["name"])
+    assert got.columns == ["n", "name", "new"] and sorted(map(str, got.collect())) == ["Row(n=1, name='a', new=None)", "Row(n=None, name='b', new=None)"]
+    with pytest.raises(ValueError):
+        store.rebuilt(frame(spark, [("a", "x", "")], "name string, n string, gone string"), schema, ["name"])
+
+
+def test_restored_snapshot_checks_references(spark, tmp_path):
+    from quillgraph.operators import reports
+
+    tables = {"entity": frame(spark, [("a",), ("b",)], "name string"), "tag": frame(spark, [("a", "t"), ("c", "t")], "owner string, tag string")}
+    reports.write_snapshot(tables, f"{tmp_path}/s")
+    schemas = {n: t.schema for n, t in tables.items()}
+    assert '"table": "entity"' in reports.exported_schema(tables, ["entity"])
+    with pytest.raises(ValueError, match="tag.owner"):
+        reports.restore_snapshot(spark, f"{tmp_path}/s", schemas, [("tag", "owner", "entity", "name")], f"{tmp_path}/live")
+    for _ in range(2):  # the second takes the place of the first
+        got = reports.restore_snapshot(spark, f"{tmp_path}/s", schemas, [], f"{tmp_path}/live")
+    assert got["tag"].count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["live", "s"]
