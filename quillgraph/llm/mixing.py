@@ -147,7 +147,8 @@ def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0, weights
     names = [c for c in docs.columns if c not in ("size", "pattern", "repeats")]
     h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]) if order is None else order
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
-    rows = docs.select(*[f"`{c}`" for c in names], size.alias("size"), pattern.alias("pattern"), h.alias("h_"))
+    own_columns = F.struct(*[F.col(f"`{c}`") for c in names])  # whatever their names, they meet none used here
+    rows = docs.select(own_columns.alias("row_"), size.alias("size"), pattern.alias("pattern"), h.alias("h_"))
     light = written(rows.select("pattern", F.col("h_").alias("h"), "size", F.spark_partition_id().alias("part")), "mix-sizes")
     sums = written(light.groupBy("pattern", bucket(F.col("h")).alias("bucket")).agg(F.sum("size").alias("words")), "mix-sums")
     patterns = sums.groupBy("pattern").agg(F.sum("words").alias("words")).collect()
@@ -203,7 +204,7 @@ def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0, weights
         tied = got.where("not all_").withColumn("once", (n <= F.col("some")).cast("int"))
         plain = plain.where("all_ is null or all_").unionByName(tied)
     got = plain
-    out = got.select(*[f"`{c}`" for c in names], "size", "pattern", (F.col("times") + F.col("once")).cast("int").alias("repeats"))
+    out = got.select("row_.*", "size", "pattern", (F.col("times") + F.col("once")).cast("int").alias("repeats"))
     return out, {x: (s, t) for x, s, t in zip(found, sizes, targets, strict=True)}
 
 

@@ -596,6 +596,8 @@ def test_overlapping_sources(spark):
     rows = spark.createDataFrame([(i, 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None]) for i in range(300)], "doc_id long, words long, sources array<string>")
     got, sources = mixing.mixed(rows, F.col("words"), F.col("sources"))
     assert set(sources) == {(False, "a"), (False, "b"), (True, "")}
+    odd = rows.selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(("part", "at", "h_", "some", "all_", "cut", "last", "times", "a.b"))])
+    assert mixing.mixed(odd, F.col("words"), F.col("sources"))[0].columns == [*odd.columns, "size", "pattern", "repeats"]
     assert got.agg(F.max("repeats")).first()[0] <= 3 and got.count() == 300
 
 
