@@ -130,9 +130,9 @@ def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     first = each.groupBy("k").agg(low.alias("f"), F.sum("c").alias("c")).where("c > 1")
     first = written(first.select("k", F.col("f.page_id").alias("first"), (F.coalesce("f.c", F.lit(0)) == 1).alias("single")), "originals")
     out = pages.withColumn("k", key).join(first, "k", "left")
-    refers = F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull() & (F.octet_length("payload") >= least)), F.col("first"))
+    refers = F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("page_id")), F.col("first"))
     # a payload below ``least`` is not grouped, so whether its page_id repeats is not known
-    alone = F.when(F.octet_length("payload") < least, False).when(F.col("page_id").isNull() & refers.isNull(), False).otherwise(F.coalesce("single", F.lit(True)))
+    alone = F.when(F.octet_length("payload") < least, False).when(F.col("page_id").isNull(), False).otherwise(F.coalesce("single", F.lit(True)))
     return out.withColumns({"refers_to": refers, "single": alone}).drop("k", "first")
 
 
@@ -216,9 +216,8 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     record_type, refers_to.
 
     The payload is the html in UTF-8 (null: empty).  Rows with the smallest
-    identifier of a group are responses, all of them if it repeats; a null
-    identifier refers to the group's smallest, or is a response where the group
-    has none.  Payloads may be of any length; a record is held in memory whole.
+    identifier of a group are responses, all of them if it repeats; so is a row
+    with a null identifier, which nothing refers to.  Payloads may be of any length; a record is held in memory whole.
     An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
@@ -237,6 +236,6 @@ WITH paid AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html,
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM paid)
 SELECT page_id, strlen(payload) AS payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest,
-       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts"""
