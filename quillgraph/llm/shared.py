@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a row group, which a writer holds in memory.
 GROUP_BYTES = 16 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows while a plan runs: a task's Python worker and its
+    JVM both hold whole batches, and rows here are texts and sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back.
 
@@ -44,7 +60,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("parquet.block.size", GROUP_BYTES).option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("parquet.block.size", GROUP_BYTES).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
