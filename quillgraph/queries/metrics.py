@@ -88,9 +88,9 @@ def _with(*ctes: str, body: str) -> str:
 
 _AA = "SELECT lo, hi, sum(1 / ln(dm)) AS score FROM free GROUP BY lo, hi"
 _WALK = "steps AS (SELECT DISTINCT a, b FROM walk WHERE edge_type IN ('supplier_to', 'acquired', 'subsidiary_of'))"
-_LEVELS = f"lv0 AS (SELECT '{SOURCE}' AS node), " + ", ".join(
-    f"lv{k} AS (SELECT b AS node, min(a) AS parent FROM steps WHERE a IN (SELECT node FROM lv{k - 1}) AND b NOT IN ({' UNION ALL '.join(f'SELECT node FROM lv{i}' for i in range(k))}) GROUP BY b)" for k in range(1, 5)
-)
+_BFS = f"bfs(node, depth, parent) USING KEY (node) AS (SELECT '{SOURCE}', 0, NULL::VARCHAR UNION SELECT s.b, min(r.depth) + 1, min(s.a) FROM bfs r JOIN steps s ON s.a = r.node LEFT JOIN recurring.bfs k ON k.node = s.b WHERE k.node IS NULL GROUP BY s.b)"
+#: Pairs of nodes by the number of steps from one to the other, up to ten.
+_STEPS = ", ".join(f"h{k} AS (SELECT DISTINCT x.s, y.t FROM {f'h{k - 1}' if k > 2 else 'dedge'} x JOIN dedge y ON x.t = y.s)" for k in range(2, 11))
 _DIRECTED = "dedge AS (SELECT source AS s, target AS t FROM edge WHERE edge_type IN ('acquired', 'subsidiary_of', 'customer_of') UNION SELECT target, source FROM edge WHERE edge_type = 'competes_with')"
 _PATHS = "reach(src, dst, d, sig) USING KEY (src, dst) AS (SELECT node, node, 0, 1.0::DOUBLE FROM nd UNION SELECT r.src, w.b, min(r.d) + 1, sum(r.sig) FROM reach r JOIN w ON r.dst = w.a LEFT JOIN recurring.reach k ON k.src = r.src AND k.dst = w.b WHERE k.d IS NULL GROUP BY r.src, w.b), dist AS (SELECT src, dst, d, sig FROM reach), top AS (SELECT max(d) AS d FROM dist)"
 _BACK = "acc(src, dst, d, sig, delta) AS (SELECT dist.src, dist.dst, dist.d, dist.sig, 0.0::DOUBLE FROM dist JOIN top ON dist.d = top.d UNION ALL SELECT p.src, p.dst, p.d, p.sig, coalesce(sum(p.sig / c.sig * (1 + c.delta)), 0) FROM (SELECT DISTINCT d - 1 AS lower FROM acc) l JOIN dist p ON p.d = l.lower LEFT JOIN w ON w.a = p.dst LEFT JOIN acc c ON c.src = p.src AND c.dst = w.b WHERE p.d >= 1 GROUP BY p.src, p.dst, p.d, p.sig)"
@@ -124,8 +124,8 @@ ORACLES = {
     "lp_pref_attach": _with(_N, body="SELECT x.node AS lo, y.node AS hi, CAST(x.d * y.d AS DOUBLE) AS score FROM nd x JOIN nd y ON x.node < y.node WHERE NOT EXISTS (SELECT 1 FROM part_edge e WHERE e.src = x.node AND e.dst = y.node) ORDER BY score DESC, lo, hi LIMIT 50"),
     "lp_node_candidates": _with(_N, _WEDGE, body=f"SELECT node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY score DESC, other) AS others FROM (SELECT lo AS node, hi AS other, round(score, 6) AS score FROM ({_AA}) UNION ALL SELECT hi, lo, round(score, 6) FROM ({_AA})) GROUP BY node"),
     "suggestions": _with(_N, _WEDGE, body=f"SELECT lo, hi, round(score, 6) AS score FROM ({_AA}) WHERE score >= 0.1 ORDER BY round(score, 12) DESC, lo, hi LIMIT 20"),
-    "bfs_distances_from": _with(_WALK, _LEVELS, body="SELECT node, 0 AS depth FROM lv0 UNION ALL SELECT node, 1 FROM lv1 UNION ALL SELECT node, 2 FROM lv2 UNION ALL SELECT node, 3 FROM lv3 UNION ALL SELECT node, 4 FROM lv4"),
-    "shortest_path_parents": _with(_WALK, _LEVELS, body="SELECT node, 0 AS depth, NULL AS parent FROM lv0 UNION ALL SELECT node, 1, parent FROM lv1 UNION ALL SELECT node, 2, parent FROM lv2 UNION ALL SELECT node, 3, parent FROM lv3"),
+    "bfs_distances_from": _with(_WALK, _BFS, body="SELECT node, depth FROM bfs"),
+    "shortest_path_parents": _with(_WALK, _BFS, body="SELECT node, depth, parent FROM bfs"),
     "cycles_len4": _with(_DIRECTED, "p2 AS (SELECT x.s AS a, x.t AS b, y.t AS c FROM dedge x JOIN dedge y ON x.t = y.s), p3 AS (SELECT a, b, c, t AS d FROM p2 JOIN dedge ON c = s WHERE a <> c), p4 AS (SELECT a, b, c, d, t AS e FROM p3 JOIN dedge ON d = s WHERE a <> d AND b <> d AND c <> d)", body="SELECT * FROM (SELECT a AS start, 2 AS length, a || '>' || b || '>' || c AS path FROM p2 WHERE a = c UNION ALL SELECT a, 3, a || '>' || b || '>' || c || '>' || d FROM p3 WHERE a = d AND b <> c UNION ALL SELECT a, 4, a || '>' || b || '>' || c || '>' || d || '>' || e FROM p4 WHERE a = e AND b <> c) ORDER BY length, path LIMIT 100"),
-    "hierarchy_cycles": _with(_DIRECTED, "h2 AS (SELECT DISTINCT x.s, y.t FROM dedge x JOIN dedge y ON x.t = y.s), h3 AS (SELECT DISTINCT x.s, y.t FROM h2 x JOIN dedge y ON x.t = y.s)", body="SELECT DISTINCT s AS node FROM (SELECT s, t FROM dedge UNION ALL SELECT s, t FROM h2 UNION ALL SELECT s, t FROM h3) WHERE s = t"),
+    "hierarchy_cycles": _with(_DIRECTED, _STEPS, body="SELECT DISTINCT s AS node FROM (SELECT s, t FROM dedge UNION ALL " + " UNION ALL ".join(f"SELECT s, t FROM h{k}" for k in range(2, 11)) + ") WHERE s = t"),
 }
