@@ -20,6 +20,9 @@ from ..operators import vector as V
 from ..plans.model import Model, sql
 from ..plans.notes import NOTES_SQL, SERIES, firms, newsletters, notes
 from ..sources.heads import parsed
+from .metrics import _N as NEAR
+from .metrics import _VOTES as VOTES
+from .metrics import _with as with_graph
 
 SECTORS = [f"NATION_{i}" for i in range(25) if i != 7]
 KNOWN = {"geography": ("india", "global")}
@@ -288,6 +291,8 @@ _TAX = """tax AS (SELECT n_name AS child, CASE WHEN n_nationkey = 1 THEN 'NATION
   UNION ALL SELECT * FROM (VALUES ('NATION_4', 'Other', 'sector'), ('Nowhere', 'Other', 'sector'), ('Sub A', 'NATION_5', 'sub_sector'), ('Sub A', 'NATION_6', 'sub_sector'), ('NATION_8', 'Nobody', 'sub_sector')) x(a, b, c))"""
 _FILED = """e AS (SELECT s_suppkey AS k, replace(s_name, '#', '_') AS stem, CASE WHEN s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 9 = 1 THEN 1 WHEN s_suppkey % 11 = 2 THEN 2 ELSE 3 END AS w FROM supplier)"""
 ORACLES = {
+    "classified_names": f"WITH {_FIRMS} SELECT name, 'existing' AS kind FROM firm WHERE k % 2 = 0 UNION ALL SELECT 'Quite New Firm ' || i, 'new' FROM range(5) t(i)",
+    "seed_reader": with_graph(NEAR, VOTES, body="SELECT place, node FROM vr WHERE step = (SELECT max(step) FROM vr) AND place < 5"),
     "file_path_checks": f"""WITH {_FILED} SELECT 'file_path_empty' AS "check", 'error' AS severity, count(*) AS count FROM e WHERE w = 0 UNION ALL SELECT 'file_path_missing', 'error', count(*) FROM e WHERE w > 0 AND k % 7 = 3 UNION ALL SELECT 'file_path_folder', 'error', count(*) FROM e WHERE w = 1
       UNION ALL SELECT 'file_path_name', 'error', count(*) FROM e WHERE w = 2 UNION ALL SELECT 'normalization_stem', 'warning', count(*) FROM e WHERE w > 0 AND (k % 6 = 0 OR w = 2) UNION ALL SELECT 'normalization_orphan_files', 'warning', 1""",
     "fact_checks": " UNION ALL ".join(f"SELECT '{t}_orphans' AS \"check\", 'error' AS severity, count(*) AS count FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT '{t}_json', 'error', count(*) FROM events WHERE event_id % 10 = 0 OR NOT json_valid(props)" for t in ("quotes", "company_metrics")),
