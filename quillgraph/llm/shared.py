@@ -166,13 +166,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = print_of(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a written table, so that the join's sides are plain: broadcast if small, split at a hub if not
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low_written, low = low, large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = written(small, "links")
         now = print_of(new)
         dropped(e)
+        dropped(low_written)
         e = new
         if now == seen:
             break
