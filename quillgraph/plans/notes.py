@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .model import Model
 
-SERIES = "The Chatter"
+SERIES = "The Ledger"
 STEM = "Supplier_"
 
 
@@ -68,7 +68,7 @@ def notes(m: Model) -> DataFrame:
         F.when(~is_(4, 3), cat("*Source: ", SERIES, " — Tales ", (k % 4).cast("string"), " (Edition #", (k % 4 + 10).cast("string"), ", Q1FY27)*")),
     ]
     text = F.array_join(F.array_compact(F.concat(F.array(*head), F.when(is_(19, 0), F.array().cast("array<string>")).otherwise(F.array(*body)))), "\n")
-    path = cat("findata/Companies/", nation, "/", file, ".md")
+    path = cat("vault/Companies/", nation, "/", file, ".md")
     return _base(m).select("k", path.alias("path"), t("company").alias("doc_type"), text.alias("text"), firm(k).alias("entity"), path.alias("edition"))
 
 
@@ -76,7 +76,7 @@ def notes(m: Model) -> DataFrame:
 NOTES_SQL = """note AS (
   SELECT s_suppkey AS k, s_name AS name, n_name AS nation, replace(s_name, '#', '_') AS stem, 'Orbis K' || s_suppkey || ' Works' AS entity,
          CASE WHEN s_suppkey % 29 = 3 THEN replace(s_name, '#', '_') || '_' WHEN s_suppkey % 29 = 5 THEN 'Supplier__x' || s_suppkey ELSE replace(s_name, '#', '_') END AS file,
-         'findata/Companies/' || n_name || '/' || CASE WHEN s_suppkey % 29 = 3 THEN replace(s_name, '#', '_') || '_' WHEN s_suppkey % 29 = 5 THEN 'Supplier__x' || s_suppkey ELSE replace(s_name, '#', '_') END || '.md' AS path
+         'vault/Companies/' || n_name || '/' || CASE WHEN s_suppkey % 29 = 3 THEN replace(s_name, '#', '_') || '_' WHEN s_suppkey % 29 = 5 THEN 'Supplier__x' || s_suppkey ELSE replace(s_name, '#', '_') END || '.md' AS path
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 

@@ -161,9 +161,9 @@ def _recall(m: Model):
 def _filed(m: Model):
     """Suppliers with paths, some of them wrong, and the files that there are."""
     s = m.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("company").alias("kind"), F.regexp_replace("s_name", "#", "_").alias("stem"))
-    path = F.when(F.col("k") % 5 == 0, F.lit("")).when(F.col("k") % 9 == 1, F.concat(F.lit("findata/Sectors/"), "stem", F.lit(".md"))).when(F.col("k") % 11 == 2, F.concat(F.lit("findata/Companies/bad name "), "k", F.lit(".md"))).otherwise(F.concat(F.lit("findata/Companies/"), "stem", F.lit(".md")))
+    path = F.when(F.col("k") % 5 == 0, F.lit("")).when(F.col("k") % 9 == 1, F.concat(F.lit("vault/Sectors/"), "stem", F.lit(".md"))).when(F.col("k") % 11 == 2, F.concat(F.lit("vault/Companies/bad name "), "k", F.lit(".md"))).otherwise(F.concat(F.lit("vault/Companies/"), "stem", F.lit(".md")))
     e = s.select("k", "name", "kind", path.alias("file_path"), F.when(F.col("k") % 6 == 0, F.lit("Other")).otherwise(F.col("stem")).alias("normalized_name"))
-    files = e.where("file_path <> '' and k % 7 <> 3").select(F.col("file_path").alias("path")).unionByName(m.spark.createDataFrame([("findata/Companies/alone.md",)], "path string"))
+    files = e.where("file_path <> '' and k % 7 <> 3").select(F.col("file_path").alias("path")).unionByName(m.spark.createDataFrame([("vault/Companies/alone.md",)], "path string"))
     return e, files
 
 
@@ -229,7 +229,7 @@ QUERIES = {
     "largest_sectors": _m(lambda m: I.largest_sectors(m.edges)),
     "sector_bundles": _m(lambda m: P.bundles(m.edges, m.entities)),
     "cloud_types": _m(lambda m: P.cloud(_faulty(m), m.entities)[2]),
-    "path_or_name": _m(lambda m: P.path_or_name(_base_paths(m), m.spark.createDataFrame([("Supplier#000000001",), ("findata/2.md",), ("none",)], "query string"))),
+    "path_or_name": _m(lambda m: P.path_or_name(_base_paths(m), m.spark.createDataFrame([("Supplier#000000001",), ("vault/2.md",), ("none",)], "query string"))),
     "search_page": _m(lambda m: S.search_page(_docs(m), "the and", 10, 5)),
     "edition_companies": _m(lambda m: V.edition_companies(_vectors(m), m.spark.range(50).select("id", F.concat(F.lit("Tale "), "id").alias("title"), F.concat(F.lit("Editions/e"), "id", F.lit(".md")).alias("path")), _vectors(m).where("id >= 50").select("id", F.concat(F.lit("C"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("company")), "e7", 10)),
     "notes_like_entity": _m(lambda m: V.like_entity(_vectors(m), m.spark.createDataFrame([("Acme", 11)], "entity string, id long"), "Acme", 10, ["1", "2", "3"])),
@@ -238,7 +238,7 @@ QUERIES = {
 
 
 def _base_paths(m: Model):
-    return m.table("supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("findata/"), "s_suppkey", F.lit(".md")).alias("file_path"))
+    return m.table("supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("vault/"), "s_suppkey", F.lit(".md")).alias("file_path"))
 
 
 def _n(body: str) -> str:
@@ -364,7 +364,7 @@ ORACLES = {
       UNION ALL SELECT entity, 'market_cap', coalesce(market_cap, 'unknown'), count(*) FROM (SELECT DISTINCT source AS entity, target AS item FROM edge WHERE edge_type = 'has_company' UNION SELECT DISTINCT target, source FROM edge WHERE edge_type = 'exposed_to') LEFT JOIN entity n ON n.name = item GROUP BY 1, 3
       ) JOIN entity e ON e.name = entity WHERE kind IN ('sector', 'theme', 'super_sector', 'sub_sector')"""),
     "cloud_types": sql("SELECT edge_type, count(*) AS n, CASE WHEN edge_type IN ('competes_with', 'jv_with', 'same_group', 'co_mentioned_in') THEN 'symmetric' WHEN edge_type IN ('part_of', 'has_company', 'belongs_to', 'exposed_to') THEN 'membership' WHEN edge_type IN ('odd', 'zz_with') THEN 'unknown' ELSE 'directed' END AS semantics FROM faulty GROUP BY edge_type").replace(" SELECT edge_type, count(*)", f", {_FAULTY} SELECT edge_type, count(*)", 1),
-    "path_or_name": "SELECT 'Supplier#000000001' AS query, 'Supplier#000000001' AS name UNION ALL SELECT 'findata/2.md', (SELECT s_name FROM supplier WHERE s_suppkey = 2) UNION ALL SELECT 'none', NULL",
+    "path_or_name": "SELECT 'Supplier#000000001' AS query, 'Supplier#000000001' AS name UNION ALL SELECT 'vault/2.md', (SELECT s_name FROM supplier WHERE s_suppkey = 2) UNION ALL SELECT 'none', NULL",
     "search_page": f"WITH {_TOK}, {_BM} SELECT id, source AS doc_type, lang AS title, round(score, 6) AS score, (SELECT count(*) FROM bm) AS total FROM bm JOIN documents ON doc_id = id ORDER BY round(score, 6) DESC, id LIMIT 10 OFFSET 5",
     "edition_companies": f"SELECT 'C' || lpad(x.id::VARCHAR, 6, '0') AS company, round({_SIM}, 6) AS sim FROM ({_V}) x, ({_V}) q WHERE q.id = 7 AND x.id >= 50 AND {_SIM} > 0 ORDER BY sim DESC, company LIMIT 10",
     "notes_like_entity": f"SELECT x.id, round({_SIM}, 6) AS sim FROM ({_V}) x, ({_V}) q WHERE q.id = 11 AND x.id <> 11 AND x.label IN (1, 2, 3) AND {_SIM} > 0 ORDER BY sim DESC, x.id LIMIT 10",

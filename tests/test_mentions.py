@@ -128,12 +128,12 @@ def test_relations_applied_twice(spark, tmp_path):
 
 
 def test_editions(spark):
-    body = "## The Chatter — Wipro, Polycab & More.\nx\n*Source: The Chatter — Wipro, Polycab & More (Edition #69, Q1FY27)*\n## The Chatter - Edition #52 (Mar 27, 2026)\n"
-    notes = frame(spark, [("B", body), ("A", "## The Chatter — Wipro, Polycab & More\n"), ("C", None)], "entity string, body string")
-    got = {(r.edition, r.entity) for r in editions.editions_of(notes, "The Chatter").collect()}
-    assert got == {("Wipro, Polycab & More (Edition #69, Q1FY27)", "A"), ("Wipro, Polycab & More (Edition #69, Q1FY27)", "B"), ("Edition #52 (Mar 27, 2026)", "B")}
-    pairs = editions.co_mentions(notes, "The Chatter").collect()
-    assert [(r.source, r.target, r.edition_number) for r in pairs] == [("A", "B", 69)]
+    body = "## The Ledger — Acme, Beta & More.\nx\n*Source: The Ledger — Acme, Beta & More (Edition #17, Q2FY25)*\n## The Ledger - Edition #9 (May 2, 2025)\n"
+    notes = frame(spark, [("B", body), ("A", "## The Ledger — Acme, Beta & More\n"), ("C", None)], "entity string, body string")
+    got = {(r.edition, r.entity) for r in editions.editions_of(notes, "The Ledger").collect()}
+    assert got == {("Acme, Beta & More (Edition #17, Q2FY25)", "A"), ("Acme, Beta & More (Edition #17, Q2FY25)", "B"), ("Edition #9 (May 2, 2025)", "B")}
+    pairs = editions.co_mentions(notes, "The Ledger").collect()
+    assert [(r.source, r.target, r.edition_number) for r in pairs] == [("A", "B", 17)]
     assert editions.resolved_editions(frame(spark, [("Éclair tales, Edition #3",), ("nothing like it",)], "ref string"), editions.edition_index(frame(spark, [("E/x.md", "Series: Eclair Tales")], "path string, title string")), "Series").collect()[0].path == "E/x.md"
 
 
