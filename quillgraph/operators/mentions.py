@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .events import day_of
 from .extract import pairs_within, relations_of
 from .resolve import resolved_mentions
+from .rounds import checkpointed
 from .store import EDGE_KEY, insert_or_ignore
 
 # Marks of company headings, endings that names are cut from, and titles of speakers.
@@ -99,11 +100,11 @@ def edges_told(docs: DataFrame, names: DataFrame, aliases: dict[str, str] | None
     ordered; of one edge in a document the one with the least quote is kept; only
     acquisitions take a date from their quote.
     """
-    parts = sections(docs)
+    parts = checkpointed(sections(docs))
     of = resolved_mentions(parts.select(F.col("name").alias("mention")).distinct(), names, aliases)
     parts = parts.join(of.select(F.col("name").alias("company"), F.col("mention").alias("name")), "name").select("id", "company", "body")
-    said = told(parts)
-    got = resolved_mentions(said.select("mention").distinct(), names, aliases).withColumnRenamed("name", "other")
+    said = checkpointed(told(parts))
+    got = checkpointed(resolved_mentions(said.select("mention").distinct(), names, aliases).withColumnRenamed("name", "other"))
     both = said.join(got, "mention", "left")
     open_ = both.where("other is null").select("edge_type", F.col("company").alias("source"), F.col("mention").alias("target_mention"), "quote", F.col("id").alias("edition"))
     e = both.where("other <> company")
@@ -144,8 +145,6 @@ def append_lines(rows: DataFrame, to: str, key: list[str]) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(to)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         rows = rows.join(spark.read.schema(rows.schema).json(to).select(*key).distinct(), key, "left_anti").select(rows.columns)
-    from .rounds import checkpointed
-
     fresh = checkpointed(rows.dropDuplicates(key))
     fresh.write.mode("append").json(to)
     return fresh
