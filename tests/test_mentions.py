@@ -240,6 +240,8 @@ def test_voterank_by_brute_force(spark):
                 power[u] = max(0.0, power[u] - less)
         df = frame(spark, edges, "src long, dst long")
         assert community.voterank(df) == want and community.voterank(df, 3) == want[:3]
+        if seed == 1:
+            assert community.voterank(df, small=0) == want
 
 
 def test_preferential_top_by_brute_force(spark):
