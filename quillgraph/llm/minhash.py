@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, slices, utf8, written
+from .shared import components, dropped, slices, small_batches, utf8, written
 from .shingles import mix, shingle_sets
 
 RING = 1 << 20
@@ -46,6 +46,8 @@ FEW = 48
 BLOCK = 256
 #: Counters of shingles, a power of two; 4 MB are sent to each executor.
 COUNTERS = 1 << 20
+#: Shingles that a task counts before it gives its sums, so that these are few beside them.
+COUNTED = 16 * COUNTERS
 
 _TABLES: list[np.ndarray] = []
 
@@ -163,7 +165,9 @@ def by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     members' shingles at most, not their pairs.
     """
     members = left.select("id", "component", "n", "s1", "s2").distinct()
-    rows = written(sets.join(members.select("id").distinct(), "id").select("id", "shingles"), "large-sets")
+    rows = written(sets.join(members.select("id").distinct(), "id").select("id", "n", "shingles"), "large-sets")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    rows = rows.select("id", "shingles")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -173,7 +177,10 @@ def by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
 
-    got = rows.mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    # however thinly the sets lie over files: a shingle of many members is a row a task, not a row a file
+    sums = rows.coalesce(max(1, -(-total // COUNTED))).mapInArrow(count, "counter long, n long")
+    with small_batches(left.sparkSession):
+        got = sums.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
     counts[got["counter"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
     sent = left.sparkSession.sparkContext.broadcast(counts)

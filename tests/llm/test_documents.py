@@ -449,6 +449,29 @@ def test_prefixes_lose_no_pair(spark):
     assert len(want) > 20 and want <= got
 
 
+def test_shingles_in_common_are_counted_once(spark):
+    """Members that lie in many files: what they have in common makes a row of ``count`` once, not once a file."""
+    sets = [sorted({*range(400), *range(1000 + 5 * i, 1005 + 5 * i)}) for i in range(96)]
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "id long, n long, shingles array<long>")
+    left = df.selectExpr("id", "id as component", "n", "0L as s1", "0L as s2")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        minhash.by_prefix(left, df, 80)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    made = 0
+    for x in range(before, store.executionsCount()):
+        run = store.executionsList(x, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "MapInArrow" and "count(" in node.desc():
+                rows = [m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(values.apply(r).replace(",", "")) for r in rows if values.contains(r))
+    assert 0 < made <= 400 + 96 * 5, made
+
+
 def test_one_identifier_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (7, b, "en", "s")]
