@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import checkpointed
+
 # Endings of company names and words too common to tell names apart.
 SUFFIXES = ("Limited", "Ltd", "Private", "Pvt", "Inc", "Corporation", "Corp", "Company", "Co")
 # Words left out of names when they are compared as sets, and words that alone do not tell names apart.
@@ -44,6 +46,10 @@ def mention_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: (w != "") & ~w.isin(*MENTION_STOPWORDS)))
 
 
+#: Words of names that are compared by sets of words.
+SHORT = 6
+
+
 def overlap_match(queries: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
     """query, name, score: the best name by shared words.
 
@@ -59,18 +65,28 @@ def overlap_match(queries: DataFrame, names: DataFrame, threshold: float = 0.5)
     n = names.select("name", "place", clean(F.col("name")).alias("nl"), words_of(F.col("name")).alias("nw"))
     # by shared words that tell names apart
     telling = lambda w: F.filter(w, lambda x: ~x.isin(*GENERIC))
+    # short ones meet in the sets of words that they may share, of which the first name by place is enough
+    few = lambda w: F.size(w) <= SHORT
+    sets = lambda w: F.transform(F.sequence(F.lit(1), F.expr(f"shiftleft(1, size({w})) - 1")), lambda m: F.filter(F.array_sort(w), lambda x, i: F.getbit(m, i) == 1))
+    use = (F.size("s") > threshold * F.col("k")) & (F.size(telling(F.col("s"))) > 0)
+    each = lambda df, w: df.where(few(w) & (F.size(w) > 0)).withColumn("s", F.explode(sets(w))).withColumn("k", F.size(w)).where(use)
+    first = each(n, "nw").groupBy("s", F.col("k").alias("nk")).agg(F.min(F.struct("place", "name")).alias("f"))
+    score = F.size("s") / F.greatest("k", "nk")
+    short = each(q, "qw").select("query", "s", "k").join(first, "s").select("query", "f.name", "f.place", score.alias("score"))
     qt, nt = q.withColumn("w", F.explode(telling(F.col("qw")))), n.withColumn("w", F.explode(telling(F.col("nw"))))
-    both = qt.select("query", "qw", "w").join(nt.select("name", "place", "nw", "w"), "w").dropDuplicates(["query", "name", "place"])
-    score = F.size(F.array_intersect("qw", "nw")) / F.greatest(F.size("qw"), F.size("nw"))
-    shared = both.withColumn("score", score).where(F.col("score") > threshold).select("query", "name", "place", "score", F.lit(1).alias("way"))
+    pair = lambda x, y: x.select("query", "qw", "w").join(y.select("name", "place", "nw", "w"), "w")
+    both = pair(qt.where(~few("qw")), nt).unionByName(pair(qt.where(few("qw")), nt.where(~few("nw")))).dropDuplicates(["query", "name", "place"])
+    long = both.select("query", "name", "place", (F.size(F.array_intersect("qw", "nw")) / F.greatest(F.size("qw"), F.size("nw"))).alias("score"))
+    shared = short.unionByName(long).where(F.col("score") > threshold).select("query", "name", "place", "score", F.lit(1).alias("way"))
     # by containment: the shorter text's rarest run of four characters is in the longer one
     runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: F.substr(c, i, F.lit(4))))
 
     def within(small: DataFrame, large: DataFrame, sl: str, ll: str) -> DataFrame:
         at = large.withColumn("g", F.explode(runs(F.col(ll))))
         df = at.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-        own = small.withColumn("g", F.explode(runs(F.col(sl)))).join(df, "g").groupBy(*small.columns).agg(F.min(F.struct("df", "g")).alias("r"))
-        return own.withColumn("g", F.col("r.g")).drop("r").join(at, "g").where(F.contains(F.col(ll), F.col(sl)))
+        own = small.withColumn("g", F.explode(runs(F.col(sl)))).join(df, "g", "left").groupBy(*small.columns).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r"))
+        # a run that no text has is in none, so neither is the whole
+        return own.where("r.df > 0").withColumn("g", F.col("r.g")).drop("r").join(at, "g").where(F.contains(F.col(ll), F.col(sl)))
 
     inside = within(q.select("query", "ql"), n.select("name", "place", "nl"), "ql", "nl").select("query", "name", "place")
     holds = within(n.select("name", "place", "nl").where("nl <> ''"), q.select("query", "ql"), "nl", "ql").select("query", "name", "place")
@@ -167,9 +183,11 @@ def staged_match(queries: DataFrame, names: DataFrame, short: dict[str, str] | N
     exact = queries.join(names.select("name", F.lower("name").alias("k")), F.lower("query") == F.col("k")).select("query", "name", F.lit(1).alias("stage"))
     bare = queries.join(names.select("name", F.lower(without_suffix(F.col("name"))).alias("k")), F.lower(without_suffix(F.col("query"))) == F.col("k")).select("query", "name", F.lit(2).alias("stage"))
     words = overlap_match(queries, names).select("query", "name", F.lit(3).alias("stage"))
-    edits = edit_match(queries, names).select("query", "name", F.lit(4).alias("stage"))
     bare = bare.unionByName(abbreviated(queries, short or {}).withColumn("stage", F.lit(2)))
-    best = exact.unionByName(bare).unionByName(words).unionByName(edits).groupBy("query").agg(F.min(F.struct("stage", "name")).alias("m"))
+    # by edits only what nothing else answers: names that sound alike all meet there
+    said = checkpointed(exact.unionByName(bare).unionByName(words))
+    edits = edit_match(queries.join(said.select("query"), "query", "left_anti"), names).select("query", "name", F.lit(4).alias("stage"))
+    best = said.unionByName(edits).groupBy("query").agg(F.min(F.struct("stage", "name")).alias("m"))
     return queries.join(best, "query", "left").select("query", F.col("m.name").alias("name"), F.col("m.stage").alias("stage"))
 
 
