@@ -29,3 +29,25 @@ def test_names_that_sound_alike_meet_only_where_nothing_else_answers(spark, monk
     n = spark.createDataFrame([("Orbis K2 Works", 0), ("Orbis", 1)], "name string, place long")
     got = {x["query"]: (x.name, x.stage) for x in resolve.staged_match(q, n).collect()}
     assert got == {"Orbis K1 Works": ("Orbis", 3), "Orbus": ("Orbis", 4), "Nobody": (None, None)} and asked == [["Nobody", "Orbus"]]
+
+
+def directed(spark):
+    r = random.Random(1)
+    e = sorted({(r.randrange(40), r.randrange(40)) for _ in range(60)})
+    near = {}
+    for a, b in e:
+        near.setdefault(a, []).append(b)
+    return spark.createDataFrame([(str(a), str(b)) for a, b in e], "source string, target string"), near
+
+
+def test_hierarchy_cycles_by_walks(spark):
+    df, near = directed(spark)
+    for depth in (1, 2, 3, 10):
+        want = set()
+        for a in near:
+            at = {a}
+            for _ in range(depth):
+                at = {y for x in at for y in near.get(x, ())}
+                if a in at:
+                    want.add(str(a))
+        assert {x.node for x in paths.hierarchy_cycles(df, depth).collect()} == want
