@@ -51,3 +51,27 @@ def test_hierarchy_cycles_by_walks(spark):
                 if a in at:
                     want.add(str(a))
         assert {x.node for x in paths.hierarchy_cycles(df, depth).collect()} == want
+
+
+def test_short_cycles_end_the_search(spark, monkeypatch):
+    df, near = directed(spark)
+    want = []
+
+    def go(path, hops):
+        for y in near.get(path[-1], ()):
+            if y == path[0] and len(path) > 1:
+                want.append((str(y), len(path), ">".join(map(str, [*path, y]))))
+            elif y not in path and len(path) < hops:
+                go([*path, y], hops)
+
+    for a in near:
+        go([a], 4)
+    want.sort(key=lambda x: (x[1], x[2]))
+    tables = []
+    old = paths.checkpointed
+    monkeypatch.setattr(paths, "checkpointed", lambda x: tables.append(1) or old(x))
+    n = sum(x[1] == want[0][1] for x in want)
+    for limit in (n, 100):
+        tables.clear()
+        assert [tuple(x) for x in paths.cycles(df, 4, limit).collect()] == want[:limit]
+        assert len(tables) <= 4 and (limit > n or len(tables) == want[0][1])
