@@ -9,12 +9,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def pairs_within(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """group, a, b: all pairs a < b of distinct members, as relations between groups' members ask for."""
-    r = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    x, y = r.alias("x"), r.alias("y")
-    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.m") < F.col("y.m"))).select(F.col("x.g").alias(group), F.col("x.m").alias("a"), F.col("y.m").alias("b"))
+from .rounds import checkpointed
+
+
+#: Members of a group that meet in one cell of :func:`pairs_within`.
+PAIR_BLOCK = 2048
+#: Pairs of a task where groups are larger than that.
+TASK_PAIRS = 4_000_000
+
+
+def pairs_within(rows: DataFrame, group: str, member: str, once: bool = False, block: int = PAIR_BLOCK) -> DataFrame:
+    """group, a, b: all pairs a < b of distinct members, as relations between groups' members ask for.
+
+    ``once`` gives a pair of members of several groups in its least group only.  A
+    group of more than ``block`` members is cut into blocks, and every two blocks
+    are a cell of their own, so that no task gets a large group; pairs are not
+    shuffled.
+    """
+    r = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
+    if once:
+        sets = r.groupBy("m").agg(F.sort_array(F.collect_list("g")).alias("gs"))
+        r = sets.select("m", F.explode("gs").alias("g"), F.when(F.size("gs") > 1, F.col("gs")).alias("gs"))
+    r = checkpointed(r)
+    sizes = r.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    top, pairs = sizes.agg(F.max("n"), F.sum(F.col("n") * F.col("n") / 2)).first()
+    if (top or 0) <= block:
+        x, y = r.alias("x"), r.alias("y")
+        both = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.m") < F.col("y.m")))
+    else:
+        k = sizes.select(F.col("g").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("k"))
+        cut = r.join(k, F.col("g") == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("m"), "k").cast("int"))
+        tasks = int(min(4096, max(r.sparkSession.sparkContext.defaultParallelism, pairs / TASK_PAIRS)))
+        cells = lambda lo, hi, at: cut.withColumn("o", F.explode(at)).withColumns({"lo": lo, "hi": hi}).drop("own", "o", "k").repartition(tasks, "g", "lo", "hi")
+        x = cells(F.col("own"), F.col("o"), F.sequence(F.col("own"), F.col("k") - 1)).alias("x")
+        y = cells(F.col("o"), F.col("own"), F.sequence(F.lit(0), F.col("own"))).alias("y")
+        same = (F.col("x.g") == F.col("y.g")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+        both = x.hint("merge").join(y, same & ((F.col("x.lo") < F.col("x.hi")) | (F.col("x.m") < F.col("y.m"))))
+    if once:
+        one = F.col("x.gs").isNull() | F.col("y.gs").isNull()
+        both = both.where(one | (F.array_intersect("x.gs", "y.gs")[0] == F.col("x.g")))
+    return both.select(F.col("x.g").alias(group), F.least("x.m", "y.m").alias("a"), F.greatest("x.m", "y.m").alias("b"))
 
 
 def theme_exposure(docs: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:

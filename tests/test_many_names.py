@@ -75,3 +75,17 @@ def test_short_cycles_end_the_search(spark, monkeypatch):
         tables.clear()
         assert [tuple(x) for x in paths.cycles(df, 4, limit).collect()] == want[:limit]
         assert len(tables) <= 4 and (limit > n or len(tables) == want[0][1])
+
+
+def test_pairs_within_blocks(spark):
+    r = random.Random(2)
+    rows = [(f"g{r.randrange(5)}", f"m{r.randrange(60):03}") for _ in range(150)]
+    df = spark.createDataFrame([*rows, ("g9", None), (None, "m1")], "grp string, mem string")
+    want = sorted({(g, a, b) for g, a in rows for h, b in rows if g == h and a < b})
+    once = {}
+    for g, a, b in want:
+        once.setdefault((a, b), g)
+    for block in (2048, 7):
+        assert sorted(tuple(x) for x in extract.pairs_within(df, "grp", "mem", block=block).collect()) == want
+        got = sorted(tuple(x) for x in extract.pairs_within(df, "grp", "mem", once=True, block=block).collect())
+        assert got == sorted((g, a, b) for (a, b), g in once.items())
