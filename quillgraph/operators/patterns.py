@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MEMBERSHIP
+from .rounds import spread
 from .temporal import valid_at
 
 
@@ -85,7 +86,9 @@ def neighbours(edges: DataFrame, as_of: str | None = None) -> DataFrame:
     """entity, direction, other, label: distinct neighbours at one hop."""
     way = lambda x, d, y: F.struct(F.col(x).alias("entity"), F.lit(d).alias("direction"), F.col(y).alias("other"))
     both = F.explode(F.array(way("source", "out", "target"), way("target", "in", "source")))
-    return edges.where(valid_at(as_of)).select(both.alias("w"), F.col("edge_type").alias("label")).select("w.*", "label").distinct()
+    # edges that are told apart have rows that are told apart
+    one = spread(edges.where(valid_at(as_of)).select("source", "target", "edge_type"), "source", "target", "edge_type").distinct()
+    return one.select(both.alias("w"), F.col("edge_type").alias("label")).select("w.*", "label")
 
 
 def peers(walk: DataFrame, kind: str = "competes_with", as_of: str | None = None) -> DataFrame:
