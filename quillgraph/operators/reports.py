@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MEMBERSHIP
+from .rounds import spread
 
 
 def edge_growth(edges: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def top_entities(edges: DataFrame, n: int = 15) -> DataFrame:
 
 def coverage(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """theme, sector, companies, mentions, and the totals of each theme (sector null)."""
-    e = edges.where("edge_type = 'exposed_to'").join(entities.select(F.col("name").alias("source"), "sector"), "source")
+    e = spread(edges.where("edge_type = 'exposed_to'").select("source", "target", "weight"), "source").join(entities.select(F.col("name").alias("source"), "sector"), "source")
     return e.rollup("target", "sector").agg(F.countDistinct("source").alias("companies"), F.sum("weight").alias("mentions")).where("target is not null").withColumnRenamed("target", "theme")
 
 
