@@ -25,3 +25,16 @@ def test_neighbours_and_coverage_of_spread_rows(spark, monkeypatch):
     n = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", "s2")], "name string, sector string")
     got = {(x.theme, x.sector): (x.companies, x.mentions) for x in reports.coverage(e, n).collect()}
     assert got == {("x", "s1"): (2, 3.0), ("x", "s2"): (1, 1.0), ("x", None): (3, 4.0), ("y", "s1"): (1, 1.0), ("y", None): (1, 1.0)}
+
+
+def test_embedder_gets_few_texts_at_once(spark):
+    from quillgraph.operators import vector
+
+    def embed(texts):
+        if len(texts) > 500:
+            raise ValueError("too many texts")
+        return texts.map(lambda t: [float(len(t))])
+
+    docs = spark.range(1800).coalesce(1).selectExpr("id", "concat('t', id) AS text")
+    got = {x.id: x.v for x in vector.embedded(docs, embed).collect()}
+    assert len(got) == 1800 and got[7] == [2.0] and got[1799] == [5.0]
